@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import licenses, mixing, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
@@ -20,7 +24,11 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_rendezvous_shards)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op5_rendezvous_shards, op8_license_scan)}
 
 #: SQL where it can express the whole query.
 ORACLE_SQL: dict[str, str] = {}
