@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, sharding, substring
+from . import licenses, mixing, neardup, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op5_rendezvous_shards, op8_license_scan)}
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_classes(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+    return classes.select("doc_id", "class_id", "class_size", "n_links", "keep")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op5_rendezvous_shards, op8_license_scan, op10_prob_minhash)}
 
 #: SQL where it can express the whole query.
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import release, remove, scratch, stored
-from .textnum import SPACE, U, Words, mix, pieces, runs, signed
+from .textnum import SPACE, U, Words, mix, packed, pieces, runs, signed, unpacked
 
 ANCHORS = "k long, occ long, fp long, ctx long, lo int, hi int"
 #: Documents whose keys (16 bytes each) may be broadcast; beyond, texts are merge-joined.
@@ -111,28 +111,6 @@ def anchor_rows(window: int, gram: int):
     return run
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, occ, text) with the text as zstd, which makes the shuffle of texts a third as large."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = [pack((x or "").encode()) for x in batch.column(2).to_pylist()]
-        yield pa.record_batch({"k": batch.column(0), "occ": batch.column(1), "z": pa.array(texts, pa.binary())})
-
-
-def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The column z (zstd) as a column text; a few rows at a time, so memory stays small."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for lo in range(0, len(batch), rows):
-            part = batch.slice(lo, rows)
-            texts = pa.array([unpack(x).decode() for x in part.column(part.schema.get_field_index("z")).to_pylist()], pa.large_string())
-            yield pa.record_batch([*[part.column(i) for i in range(part.num_columns)], texts], names=[*part.schema.names, "text"])
-
-
 def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Row numbers and fields of a column of lists of structs of ints."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -12,8 +12,8 @@ import pyarrow as pa
 
 np.seterr(over="ignore")
 
-#: UTF-8 bytes that one step handles at a time, unless one text alone is longer.
-STEP_BYTES = 2_000_000
+#: UTF-8 bytes and texts that one step handles at a time, unless one text alone is longer.
+STEP_BYTES, STEP_ROWS = 2_000_000, 2_000
 U = np.uint64
 BASE, CHAIN, LENGTH = U(0x9E3779B97F4A7C55), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, step: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their texts' bytes and offsets; a null text is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -47,7 +47,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, step: int = STEP_BYTES)
         data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         lo = 0
         while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1))
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
 
@@ -125,3 +125,48 @@ def unit(h: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, as z: zstd, which makes the shuffle of texts a third as large."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        *rest, texts = batch.columns
+        z = pa.array([pack((x or "").encode()) for x in texts.to_pylist()], pa.binary())
+        yield pa.record_batch([*rest, z], names=[*batch.schema.names[:-1], "z"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256, z: str = "z", text: str = "text") -> Iterator[pa.RecordBatch]:
+    """A zstd column as one more column of texts; a few rows at a time, so memory stays small."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            part = batch.slice(lo, rows)
+            texts = pa.array([unpack(x).decode() for x in part.column(part.schema.get_field_index(z)).to_pylist()], pa.large_string())
+            yield pa.record_batch([*part.columns, texts], names=[*part.schema.names, text])
+
+
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every run of k words; a text of fewer words but one or more has its whole as one run."""
+    h = words.hashes()
+    at = np.flatnonzero(words.valid(k))
+    doc, out = [words.doc[at]], [runs(h, k)[at]]
+    for n in range(1, k):
+        few = np.flatnonzero(words.count == n)
+        doc.append(few)
+        out.append(runs(h, n)[words.first[few]])
+    return np.concatenate(doc), np.concatenate(out)
+
+
+def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of text and hash, and how often each stands."""
+    order = np.lexsort([h, doc])
+    doc, h = doc[order], h[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], h[at], np.diff(np.append(at, len(doc)))
