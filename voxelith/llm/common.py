@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import small_batches  # noqa: F401
+
 #: Words of a text: maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,3 +77,4 @@ def ranked(df: DataFrame, group: list[str], part: str, order: list[Column], name
     for c in same[1:]:
         on = on & c
     return own.join(sums, on, "left").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", *[f"__{c}" for c in [*group, part]])
+

@@ -7,7 +7,8 @@ that share an anchor occurrence are consecutive. An index row is such an occurre
 anchor's hash), ``ctx`` (a hash of the whole span of words that its windows cover) and the first
 place where it was seen. Runs are sorted by (fp, ctx) and never changed.
 
-A batch is merge-joined with the runs. Equal (fp, ctx): every window of the occurrence is a repeat.
+A batch is merged with the runs in the order of (fp, ctx), which puts what they share side by side.
+Equal (fp, ctx): every window of the occurrence is a repeat.
 Equal fp, other ctx: some windows may repeat; those spans, old and new, are verified window by window on
 128-bit digests of their words, made from the texts. An fp seen only once has no repeated window.
 So no window is lost, and what is stored or shuffled is about 2 / (window - gram + 2) rows a word.
@@ -20,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import release, remove, scratch, stored
+from .common import release, remove, scratch, small_batches, stored
 from .textnum import SPACE, U, Words, mix, packed, pieces, runs, signed, unpacked
 
 ANCHORS = "k long, occ long, fp long, ctx long, lo int, hi int"
 #: Documents whose keys (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 LAST = 2**63 - 1
+#: An anchor that stands HOT times in this share of a batch's rows, and is among MOST_HOT that can make up so much, is dealt out to SALTS tasks.
+SAMPLE, HOT, MOST_HOT, SALTS = 0.01, 50, 10_000, 64
 
 
 def sliding_argmin(x: np.ndarray, k: int) -> np.ndarray:
@@ -123,8 +127,6 @@ def window_rows(window: int):
     """(k, occ, fresh, spans, z) to the windows of the spans: (k, occ, fresh, h1, h2, lo, hi); without h1: repeats one of the same step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for rows, data, offsets in pieces(unpacked(batches), "text"):
             words = Words(data, offsets, ~SPACE)
             one, two = runs(words.hashes(), window), runs(words.hashes(1), window, 1)
@@ -153,8 +155,6 @@ def kept_rows(window: int):
     """(k, occ, spans, z, n rows) to (k, occ, n_words, n_removed, kept_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for rows, data, offsets in pieces(unpacked(batches), "text"):
             words = Words(data, offsets, ~SPACE)
             row, (lo, hi) = lists(rows, "spans")
@@ -195,7 +195,7 @@ class WindowIndex:
     compacted into one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int = 20, gram: int = 6, max_runs: int = 2):
+    def __init__(self, spark: SparkSession, path: str, window: int = 20, gram: int = 8, max_runs: int = 2):
         if not 0 < gram <= window:
             raise ValueError("gram must be from 1 to window")
         self.spark, self.path, self.window, self.gram, self.max_runs = spark, path, window, gram, max_runs
@@ -206,7 +206,7 @@ class WindowIndex:
         """All rows of all runs; (fp, ctx) is unique."""
         out = None
         for run in self.runs:
-            rows = self.spark.read.parquet(run)
+            rows = self.spark.read.schema(f"{ANCHORS}, kind string").parquet(run).where("kind IN ('sure', 'unsure')").drop("kind")
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -214,7 +214,7 @@ class WindowIndex:
         """Merges the runs into one sorted run and deletes them."""
         if len(self.runs) > 1:
             path, old = f"{self.path}/run-{self.batches}-compacted", self.runs
-            self.entries().repartition("fp", "ctx").sortWithinPartitions("fp", "ctx").write.parquet(path)
+            self.entries().repartition("fp", "ctx").sortWithinPartitions("fp", "ctx").withColumn("kind", F.lit("sure")).write.partitionBy("kind").parquet(path)
             self.runs = [path]
             remove(self.spark, *old)
 
@@ -228,25 +228,25 @@ class WindowIndex:
             self.compact()
         self.batches += 1
         staged = stored(batch.mapInArrow(anchor_rows(window, self.gram), ANCHORS), f"{self.path}/staged-{self.batches}")
-        place = F.struct("k", "occ", "lo")
-        marked = staged.where("fp IS NOT NULL").withColumn("first", F.min(place).over(W.partitionBy("fp", "ctx")))
-        old = self.entries()
-        if old is None:
-            marked = marked.withColumn("known", F.lit(False))
-        else:
-            marked = marked.join(old.select("fp", "ctx", F.lit(True).alias("known")).hint("merge"), ["fp", "ctx"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        marked = marked.withColumn("entry", ~F.col("known") & (place == F.col("first")))
-        judged = f"{self.path}/run-{self.batches}"
-        marked.select("fp", "ctx", "k", "occ", "lo", "hi", "entry").sortWithinPartitions("fp", "ctx").write.partitionBy("entry").parquet(judged)
-        fields = "fp long, ctx long, k long, occ long, lo int, hi int"
-        judged = spark.read.schema(fields + ", entry boolean").parquet(judged)
-        repeats = judged.where("NOT entry").select("k", "occ", "lo", "hi")
-        added = judged.where("entry").drop("entry")
-        everything = added.withColumn("fresh", F.lit(True))
+        fresh = staged.where("fp IS NOT NULL").withColumn("fresh", F.lit(True))
+        both, old = fresh, self.entries()
         if old is not None:
-            everything = everything.unionByName(old.withColumn("fresh", F.lit(False)))
-        unsure = everything.groupBy("fp").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("n > 1 AND any").select("fp")
-        spans = everything.join(unsure, "fp").groupBy("k", "occ", "fresh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+            both = both.unionByName(old.withColumn("fresh", F.lit(False)))
+        # an anchor of many contexts is dealt out by context too, and always verified
+        hot = fresh.sample(SAMPLE, 1).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= max(HOT, int(staged.count() * SAMPLE / MOST_HOT))).select("fp", F.lit(True).alias("hot"))
+        hot = stored(hot, f"{self.path}/hot-{self.batches}")
+        both = both.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("ctx", F.lit(SALTS))).otherwise(0))
+        group = W.partitionBy("fp", "salt")
+        in_order = group.orderBy("ctx", "k", "occ", "lo")
+        first = ~F.lag("ctx").over(in_order).eqNullSafe(F.col("ctx"))
+        unsure = F.coalesce("hot", F.lit(False)) | (F.min("ctx").over(group) != F.max("ctx").over(group))
+        both = both.withColumn("first", first).withColumn("unsure", unsure & F.max("fresh").over(group))
+        kind = F.when(F.col("fresh"), F.when(~F.col("first"), "repeat").when(F.col("unsure"), "unsure").otherwise("sure")).when(F.col("first") & F.col("unsure"), "old")
+        run = f"{self.path}/run-{self.batches}"
+        both.withColumn("kind", kind).where("kind IS NOT NULL").select("fp", "ctx", "k", "occ", "lo", "hi", "kind").write.partitionBy("kind").parquet(run)
+        judged = spark.read.schema(ANCHORS + ", kind string").parquet(run)
+        repeats = judged.where("kind = 'repeat'").select("k", "occ", "lo", "hi")
+        spans = judged.where("kind IN ('unsure', 'old')").groupBy("k", "occ", (F.col("kind") == "unsure").alias("fresh")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         spans = stored(spans, f"{self.path}/spans-{self.batches}")
         texts = so_far
         if spans.count() <= BROADCAST_KEYS:
@@ -254,22 +254,23 @@ class WindowIndex:
         texts = texts.mapInArrow(packed, "k long, occ long, z binary")
         wins = spans.join(texts, ["k", "occ"]).select("k", "occ", "fresh", "spans", "z")
         wins = stored(wins.mapInArrow(window_rows(window), "k long, occ long, fresh boolean, h1 long, h2 long, lo int, hi int"), f"{self.path}/windows-{self.batches}")
-        earlier = wins.where("h1 IS NOT NULL").withColumn("first", F.min(place).over(W.partitionBy("h1", "h2")))
-        earlier = earlier.where(F.col("fresh") & (place != F.col("first"))).select("k", "occ", "lo", "hi")
+        place = W.partitionBy("h1", "h2").orderBy("k", "occ", "lo")
+        earlier = wins.where("h1 IS NOT NULL").withColumn("again", F.lag("h1").over(place).isNotNull())
+        earlier = earlier.where("fresh AND again").select("k", "occ", "lo", "hi")
         parts = [repeats, staged.where("fp IS NULL").select("k", "occ", "lo", "hi"), wins.where("h1 IS NULL").select("k", "occ", "lo", "hi"), earlier]
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
         found = found.groupBy("k", "occ").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         found = stored(found, f"{self.path}/found-{self.batches}")
-        remove(spark, *[f"{self.path}/{x}-{self.batches}" for x in ("staged", "spans", "windows")])
-        remove(spark, f"{self.path}/run-{self.batches}/entry=false")
-        self.runs.append(f"{self.path}/run-{self.batches}/entry=true")
+        remove(spark, *[f"{self.path}/{x}-{self.batches}" for x in ("staged", "hot", "spans", "windows")])
+        remove(spark, f"{run}/kind=repeat", f"{run}/kind=old")
+        self.runs.append(run)
         release(spark)
         return found
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, batches: int = 3, max_runs: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3, max_runs: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     The documents go into a fresh index in ``batches`` ranges of the key, as a corpus that grows
@@ -279,6 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, batches: in
     others. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = keyed(docs, key, text)
     path = scratch(spark, "windows")
     index = WindowIndex(spark, path, window, gram, max_runs)

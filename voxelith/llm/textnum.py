@@ -13,7 +13,7 @@ import pyarrow as pa
 np.seterr(over="ignore")
 
 #: UTF-8 bytes and texts that one step handles at a time, unless one text alone is longer.
-STEP_BYTES, STEP_ROWS = 2_000_000, 2_000
+STEP_BYTES, STEP_ROWS = 1_000_000, 1_000
 U = np.uint64
 BASE, CHAIN, LENGTH = U(0x9E3779B97F4A7C55), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
