@@ -13,9 +13,11 @@ GOLDEN = 0.6180339887498949
 #: Words of a block at most, and slots that a schedule has at least (where there are as many words).
 BLOCK_WORDS, LEAST_SLOTS = 2048, 100_000
 #: Rows that one task sorts at a time, on average.
-ROWS_A_RANGE, SLOTS_A_RANGE = 20_000, 65_536
+ROWS_A_RANGE, SLOTS_A_RANGE = 5_000, 65_536
 #: Cells of [0, 1) in which a point is looked up.
 CELLS = 4096
+#: Documents whose copies (20 bytes each) may be broadcast to the texts; beyond, they are merge-joined.
+BROADCAST_ROWS = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -89,3 +91,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.min("slot").alias("first_slot"),
     )
     return taken.drop("sid", "start").unionByName(empty)
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix as rows of ``docs``, all columns as they are: a document stands as often as its words taken make whole copies, rounded.
+
+    Only the document at which a source's last slot ends is taken in part.
+    """
+    plan = mix_sources(docs, weights, share, cap, key, text, source).where("taken > 0")
+    copies = F.round(F.sum("taken") / F.sum("size")).cast("int")
+    plan = plan.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(copies.alias("__copies")).where("__copies > 0")
+    plan = stored(plan, scratch(docs.sparkSession, "mix-copies"))
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(plan, F.col(key).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -1,6 +1,6 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A document is the weighted set of its word shingles (weight: how often each stands). Each shingle
+A document is the weighted set of its word shingles (weight: 1 + ln(how often each stands)). Each shingle
 is a Poisson process with that rate; an arrival falls on a random register, and a register keeps
 the shingle of its first arrival. Two documents agree on a register with a probability of
 J_P(a, b) = sum over d of 1 / sum over e of max(a_e / a_d, b_e / b_d), which is the Jaccard
@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import release, remove, scratch, stored
+from .common import release, remove, scratch, small_batches, stored
 from .graph import components
 from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, unit, unpacked
 
 #: Registers are BANDS x ROWS: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Registers by which a group that its leader doesn't bind is split in the next round.
-SPLITS = 3
+#: Members that a leader doesn't bind are grouped again in SPLITS ways, each by MORE further registers: a pair of similarity 0.8
+#: meets again in 24 of 25 cases, groups of half that similarity shrink to a sixth.
+SPLITS, MORE = 6, 4
 #: Texts whose digests (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 
@@ -70,7 +71,7 @@ def sketch_rows(k: int, bands: int, rows: int):
         for part, data, offsets in pieces(batches, "text"):
             words = Words(data, offsets, ~SPACE)
             doc, h, n = counted(*shingles(words, k))
-            sig = prob_minhash(doc, h, n, words.n_docs, bands * rows)
+            sig = prob_minhash(doc, h, 1 + np.log(n), words.n_docs, bands * rows)
             band = mix(runs_of(sig.reshape(-1, rows)) + np.tile(np.arange(bands, dtype=U), words.n_docs) * U(0x9E3779B97F4A7C15)).view(np.int64)
             some = words.count > 0
             ends = np.append(0, np.cumsum(np.where(some, bands, 0))).astype(np.int32)
@@ -120,6 +121,7 @@ def verified_rows(k: int):
                     words = Words(data, offsets, ~SPACE)
                     doc, h, n = counted(*shingles(words, k))
                     edge = np.searchsorted(doc, np.arange(words.n_docs + 1))
+                    n = 1 + np.log(n)
                     own += [(h[i:j], n[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 sets.append(own)
             found = [probability_jaccard(*x, *y) for x, y in zip(*sets, strict=True)]
@@ -128,51 +130,81 @@ def verified_rows(k: int):
     return run
 
 
+def shingle_rows(k: int):
+    """(node, z) to (node, shingle, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in pieces(unpacked(batches), "text"):
+            doc, h, n = counted(*shingles(Words(data, offsets, ~SPACE), k))
+            yield pa.record_batch({"node": part.column(0).take(pa.array(doc)), "shingle": pa.array(h.view(np.int64)), "weight": pa.array(1 + np.log(n))})
+
+    return run
+
+
+def supports(rest: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, support): the share of a node's weight in shingles that other nodes of ``rest`` hold too, if above 0."""
+    own = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, weight double")
+    own = stored(own, scratch(texts.sparkSession, "near-shingles"))
+    both = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    total = own.groupBy("node").agg(F.sum("weight").alias("total"))
+    shared = own.join(both, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"))
+    return total.join(shared, "node").select("node", F.least(F.col("shared") / F.col("total") + 1e-9, F.lit(1.0)).alias("support"))
+
+
 def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity): links between different texts; ``docs`` has (node, text), node the text's digest.
 
-    No bucket makes all its pairs. Each has a leader, and its members are verified against that.
-    Members that it doesn't bind form groups again, split by further registers, with new leaders;
-    bound members stay in them only where, by the triangle inequality, an unbound one may still
-    reach them. Rounds go on until no group is left, so every candidate pair is linked, joined by a
-    common leader, or ruled out.
+    No bucket makes all its pairs. Its leader is the member that meets the most others in all its
+    buckets, so the middle of a group of copies, and the others are verified against it. Those that
+    it doesn't bind, and that the shares of their shingles which others of them hold don't rule out, form
+    groups again, by MORE further registers in each of SPLITS ways, with new leaders, until no group
+    is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that differ from a
+    leader alike share buckets without that leader.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = scratch(spark, "near")
-    sketches = docs.mapInArrow(sketch_rows(k, bands, rows), "node binary, bands array<long>, registers binary").dropDuplicates(["node"])
+    sketches = docs.mapInArrow(sketch_rows(k, bands, rows), "node long, bands array<long>, registers binary")
     sketches = stored(sketches, f"{path}/sketches")
-    members = sketches.select("node", "registers", F.explode("bands").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = stored(members.join(several.select("bucket"), "bucket", "left_semi").withColumn("open", F.lit(True)), f"{path}/members-0")
-    need = stored(members.select("node").distinct(), f"{path}/need")
-    texts = docs.join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "node", "left_semi")
-    texts = stored(texts.mapInArrow(packed, "node binary, z binary").dropDuplicates(["node"]), f"{path}/texts")
-    remove(spark, f"{path}/sketches")
-    known, i = None, 0
+    members = sketches.select("node", F.explode("bands").alias("bucket")).distinct()
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(several, "bucket"), f"{path}/several")
+    degrees = stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), f"{path}/need")
+    few = degrees.count() <= BROADCAST_KEYS
+    need = F.broadcast(degrees.select("node")) if few else degrees.select("node")
+    registers = stored(sketches.select("node", "registers").join(need, "node", "left_semi").groupBy("node").agg(F.first("registers").alias("registers")), f"{path}/registers")
+    texts = docs.join(need, "node", "left_semi").mapInArrow(packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
+    texts = stored(texts, f"{path}/texts")
+    members = stored(members.join(degrees, "node").select("bucket", "node", "degree"), f"{path}/members-0")
+    remove(spark, f"{path}/sketches", f"{path}/several")
+    known, m, i = None, bands * rows, 0
     while members.limit(1).count():
         i += 1
-        leaders = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader")).where("n > 1 AND leader IS NOT NULL")
-        pairs = members.join(leaders.select("bucket", "leader"), "bucket").where("node <> leader")
+        leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
+        pairs = members.join(leaders, "bucket").where("node <> leader")
         pairs = stored(pairs.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"{path}/pairs-{i}")
         ask = pairs.select("a", "b").distinct()
         if known is not None:
             ask = ask.join(known, ["a", "b"], "left_anti")
         ask = ask.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-        ask = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a binary, b binary, similarity double")
+        ask = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a long, b long, similarity double")
         ask.write.mode("append").parquet(f"{path}/links")
-        known = spark.read.schema("a binary, b binary, similarity double").parquet(f"{path}/links")
-        judged = pairs.join(known, ["a", "b"]).withColumn("open", F.col("open") & (F.col("similarity") < threshold))
-        near = 1 - 2 * (1 - threshold)
-        state = judged.groupBy("bucket").agg(F.max("open").alias("some"), F.max(F.col("open") & (F.col("similarity") >= near)).alias("ring"))
-        rest = judged.join(state.where("some"), "bucket").where("open OR ring")
-        m = bands * rows
-        at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), F.substring("registers", (i * 17 + j * 41) % m + 1, 1)) for j in range(SPLITS)]
-        rest = rest.select("node", "registers", "open", F.explode(F.array(*at)).alias("bucket"))
-        alive = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 AND some").select("bucket")
-        members = stored(rest.join(alive, "bucket", "left_semi"), f"{path}/members-{i}")
-        remove(spark, f"{path}/pairs-{i}", f"{path}/members-{i - 1}")
-    release(spark)
-    return known.where(F.col("similarity") >= threshold) if known is not None else spark.createDataFrame([], "a binary, b binary, similarity double")
+        known = spark.read.schema("a long, b long, similarity double").parquet(f"{path}/links")
+        rest = pairs.join(known.where(F.col("similarity") < threshold), ["a", "b"]).select("bucket", "node", "degree")
+        rest = stored(rest, f"{path}/rest-{i}")
+        # two sets that hold shares s and r of each other have a similarity of 1 / (1/s + 1/r - 1) at most
+        rest = rest.join(supports(rest, texts, k), "node")
+        best = rest.groupBy("bucket").agg(F.max("support").alias("best"))
+        rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
+        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        rest = rest.join(alive, "bucket", "left_semi").join(registers, "node")
+        at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * MORE * 5 + x * 7) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
+        rest = rest.select("node", "degree", F.explode(F.array(*at)).alias("bucket"))
+        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        members = stored(rest.join(alive, "bucket", "left_semi").select("bucket", "node", "degree"), f"{path}/members-{i}")
+        remove(spark, f"{path}/pairs-{i}", f"{path}/rest-{i}", f"{path}/members-{i - 1}")
+        release(spark)
+    return known.where(F.col("similarity") >= threshold) if known is not None else spark.createDataFrame([], "a long, b long, similarity double")
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,11 +214,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int
     ``threshold``); equal texts are one node. class_id is the class's least doc_id (null only where
     all are), class_size its rows, n_links the links of the row's text that were verified, keep
     whether the row stays where one of a class does (the least doc_id, ties by the text's digest;
-    equal rows all say so). Texts without words are alone in their class, unless equal. Null texts
+    equal rows all say so). The digest has 64 bits: among 10**10 texts about three pairs share one.
+    Texts without words are alone in their class, unless equal. Null texts
     count as empty. An empty table gives an empty result; other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows_ = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
+    rows_ = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     links = near_links(rows_.select("node", "text"), threshold, k, bands, rows)
     spark = docs.sparkSession
     path = scratch(spark, "classes")
@@ -204,3 +237,16 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int
     out = rows_.select("doc_id", "node").join(facts, "node")
     keep = F.col("own") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return out.select("doc_id", "class_id", "class_size", "n_links", keep.alias("keep"), "node")
+
+
+def dedup(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of ``near_classes``, all columns as they are."""
+    classes = stored(near_classes(docs, threshold, key=key, text=text).select("doc_id", "node", "keep"), scratch(docs.sparkSession, "near-keep"))
+    gone = classes.where("NOT keep").select(F.col("doc_id").alias("__i"), F.col("node").alias("__n")).distinct()
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(gone, F.col(key).eqNullSafe(F.col("__i")) & (F.col("__node") == F.col("__n")), "left_anti")
+    if classes.where("keep").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([key, "__node"])
+    return rows.drop("__node")

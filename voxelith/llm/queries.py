@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, neardup, sharding, substring
+from . import chat, decontam, langid, licenses, mixing, neardup, quality, sharding, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +20,79 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), clusters=4)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, k=5)
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op9_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(chat.from_turns(table(spark, sf_dir, "conversations")), chat.TURN_SCHEMAS)
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = neardup.near_classes(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
     return classes.select("doc_id", "class_id", "class_size", "n_links", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op5_rendezvous_shards, op8_license_scan, op10_prob_minhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_mix_sources,
+        op3_language_id,
+        op4_decontaminate,
+        op5_rendezvous_shards,
+        op6_quality_rules,
+        op7_token_counts,
+        op8_license_scan,
+        op9_link_tool_calls,
+        op10_prob_minhash,
+    )
+}
 
 #: SQL where it can express the whole query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS s FROM w WHERE len(words) >= 20),
+wins AS (SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS x FROM starts),
+again AS (SELECT doc_id, s FROM wins QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + unnest(range(0, 20)) AS i FROM again),
+lost AS (SELECT doc_id, list(i) AS out, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE [words[i + 1] FOR i IN range(0, len(words)) IF NOT list_contains(out, i)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
+""",
+    "op4_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[s + 1 : s + k], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM d, sizes WHERE len(w) >= k)),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[s + 1 : s + k], ' ') AS x FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_common FROM ds JOIN bs USING (k, x) GROUP BY doc_id, item_id)
+SELECT doc_id, c.item_id AS item_id, n_shingles, n_common, n_common / n_shingles AS containment
+FROM c JOIN n ON c.item_id = n.item_id WHERE n_common >= 0.8 * n_shingles - 1e-9
+""",
+}

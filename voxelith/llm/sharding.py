@@ -24,8 +24,8 @@ def shard_of(key: Column, weights: Sequence[float], salt: str = "shard") -> Colu
     return (F.array_min(F.array(*scores)) if len(scores) > 1 else scores[0])["shard"]
 
 
-def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, size, text_crc32, law, shard, slot and grown_shard.
+def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot and grown_shard, and the columns of ``carry``.
 
     size: UTF-8 bytes of the text (null: none) plus 8. shard: by the key and the weights alone (a
     null key is a key of its own; equal keys share a shard). slot: 0, 1, ... without a gap in each
@@ -43,6 +43,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         shard_of(name, weights).alias("shard"),
         shard_of(name, grown).alias("grown_shard"),
         F.xxhash64(name, F.lit("slot")).alias("__h"),
+        *carry,
     ).withColumn("__part", cell(F.col("__h"), ranges))
     order = [F.col(c).asc_nulls_first() for c in ("__h", "doc_id", "text_crc32", "size")]
-    return ranked(rows, ["shard"], "__part", order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return ranked(rows, ["shard"], "__part", order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
