@@ -103,7 +103,7 @@ def png_bytes(image: np.ndarray) -> bytes:
     """A PNG of a grey (H, W) or RGB (H, W, 3) array of uint8 or uint16."""
     kind = 0 if image.ndim == 2 else 2
     depth = image.dtype.itemsize * 8
-    lines = image.astype(f">u{image.dtype.itemsize}").reshape(image.shape[0], -1).view(np.uint8)
+    lines = np.ascontiguousarray(image, f">u{image.dtype.itemsize}").reshape(image.shape[0], -1).view(np.uint8)
     raw = np.pad(lines, ((0, 0), (1, 0))).tobytes()
 
     def chunk(name: bytes, body: bytes) -> bytes:
