@@ -22,7 +22,7 @@ from .textnum import ALNUM, LOWER, pieces
 
 DIMENSIONS = 4096
 #: Texts a language in the sample, about, and all texts of the sample at most, about.
-SAMPLE_A_LANGUAGE, SAMPLE = 400, 8000
+SAMPLE_A_LANGUAGE, SAMPLE = 200, 4000
 #: A text is rejected if its cosine is under this share of the least one in the sample for texts of its size.
 #: One of fewer trigrams than LEAST_TRIGRAMS says too little to be called far.
 REJECT_SHARE, LEAST_TRIGRAMS = 0.33, 32

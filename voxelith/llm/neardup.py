@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import release, remove, scratch, small_batches, stored
 from .graph import components
@@ -21,9 +21,9 @@ from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, un
 
 #: Registers are BANDS x ROWS: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Members that a leader doesn't bind are grouped again in SPLITS ways, each by MORE further registers: a pair of similarity 0.8
-#: meets again in 24 of 25 cases, groups of half that similarity shrink to a sixth.
-SPLITS, MORE = 6, 4
+#: Members that no leader binds are grouped again with LEADERS leaders, groups of over SMALL first in SPLITS ways, each by MORE
+#: further registers: a pair of similarity 0.8 meets again in 3 of 4 cases, which leaves 2 in 100,000 such pairs without a bucket.
+LEADERS, SMALL, SPLITS, MORE = 3, 12, 8, 8
 #: Texts whose digests (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 
@@ -156,10 +156,10 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
 
     No bucket makes all its pairs. Its leader is the member that meets the most others in all its
     buckets, so the middle of a group of copies, and the others are verified against it. Those that
-    it doesn't bind, and that the shares of their shingles which others of them hold don't rule out, form
-    groups again, by MORE further registers in each of SPLITS ways, with new leaders, until no group
-    is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that differ from a
-    leader alike share buckets without that leader.
+    it doesn't bind, and that the shares of their shingles which others of them hold don't rule out,
+    form groups again, with LEADERS leaders; large ones are split by further registers. That goes on
+    until no group is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that
+    differ from a leader alike share buckets without that leader.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -180,7 +180,8 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
     known, m, i = None, bands * rows, 0
     while members.limit(1).count():
         i += 1
-        leaders = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
+        by_degree = W.partitionBy("bucket").orderBy(F.desc("degree"), "node")
+        leaders = members.withColumn("place", F.row_number().over(by_degree)).where(F.col("place") <= (1 if i == 1 else LEADERS)).select("bucket", F.col("node").alias("leader"))
         pairs = members.join(leaders, "bucket").where("node <> leader")
         pairs = stored(pairs.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"{path}/pairs-{i}")
         ask = pairs.select("a", "b").distinct()
@@ -190,20 +191,24 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
         ask = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a long, b long, similarity double")
         ask.write.mode("append").parquet(f"{path}/links")
         known = spark.read.schema("a long, b long, similarity double").parquet(f"{path}/links")
-        rest = pairs.join(known.where(F.col("similarity") < threshold), ["a", "b"]).select("bucket", "node", "degree")
-        rest = stored(rest, f"{path}/rest-{i}")
+        best = pairs.join(known, ["a", "b"]).groupBy("bucket", "node").agg(F.first("degree").alias("degree"), F.max("similarity").alias("best"))
+        rest = best.where(F.col("best") < threshold).select("bucket", "node", "degree")
+        rest = stored(rest.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti"), f"{path}/rest-{i}")
+        if not rest.limit(1).count():
+            break
         # two sets that hold shares s and r of each other have a similarity of 1 / (1/s + 1/r - 1) at most
         rest = rest.join(supports(rest, texts, k), "node")
-        best = rest.groupBy("bucket").agg(F.max("support").alias("best"))
-        rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
-        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        rest = rest.join(alive, "bucket", "left_semi").join(registers, "node")
-        at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * MORE * 5 + x * 7) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
-        rest = rest.select("node", "degree", F.explode(F.array(*at)).alias("bucket"))
+        group = rest.groupBy("bucket").agg(F.max("support").alias("best"))
+        rest = rest.join(group, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
+        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        rest = rest.join(alive, "bucket").join(registers, "node")
+        at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * 13 + x * 11) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
+        rest = rest.select("node", "degree", F.explode(F.when(F.col("n") > SMALL, F.array(*at)).otherwise(F.array("bucket"))).alias("bucket"))
         alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         members = stored(rest.join(alive, "bucket", "left_semi").select("bucket", "node", "degree"), f"{path}/members-{i}")
         remove(spark, f"{path}/pairs-{i}", f"{path}/rest-{i}", f"{path}/members-{i - 1}")
         release(spark)
+    release(spark)
     return known.where(F.col("similarity") >= threshold) if known is not None else spark.createDataFrame([], "a long, b long, similarity double")
 
 

@@ -183,8 +183,11 @@ def kept_rows(window: int):
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, occ, text: k orders the documents (a null key comes last); occ tells rows of one key apart and is 0 where keys are unique."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.col(text).alias("text"))
-    repeated = rows.groupBy("k").count().where("count > 1").limit(1).count()
-    return rows.select("k", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("occ"), "text")
+    return rows.select("k", (F.xxhash64("text") if repeated_keys(rows) else F.lit(0).cast("long")).alias("occ"), "text")
+
+
+def repeated_keys(rows: DataFrame) -> bool:
+    return bool(rows.groupBy("k").count().where("count > 1").limit(1).count())
 
 
 class WindowIndex:
@@ -239,8 +242,8 @@ class WindowIndex:
         group = W.partitionBy("fp", "salt")
         in_order = group.orderBy("ctx", "k", "occ", "lo")
         first = ~F.lag("ctx").over(in_order).eqNullSafe(F.col("ctx"))
-        unsure = F.coalesce("hot", F.lit(False)) | (F.min("ctx").over(group) != F.max("ctx").over(group))
-        both = both.withColumn("first", first).withColumn("unsure", unsure & F.max("fresh").over(group))
+        mixed = (F.min("ctx").over(group) != F.max("ctx").over(group)) & F.max("fresh").over(group)
+        both = both.withColumn("first", first).withColumn("unsure", F.coalesce("hot", F.lit(False)) | mixed)
         kind = F.when(F.col("fresh"), F.when(~F.col("first"), "repeat").when(F.col("unsure"), "unsure").otherwise("sure")).when(F.col("first") & F.col("unsure"), "old")
         run = f"{self.path}/run-{self.batches}"
         both.withColumn("kind", kind).where("kind IS NOT NULL").select("fp", "ctx", "k", "occ", "lo", "hi", "kind").write.partitionBy("kind").parquet(run)
@@ -286,9 +289,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, batches: in
     index = WindowIndex(spark, path, window, gram, max_runs)
     cuts = rows.agg(F.percentile_approx("k", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     bounds = sorted({*(cuts or []), LAST})
+    once = rows.dropDuplicates(["k", "occ"]) if repeated_keys(rows) else rows
     found, low = [], None
     for high in bounds:
-        so_far = rows.where(F.col("k") <= high)
+        so_far = once.where(F.col("k") <= high)
         found.append(index.add(so_far if low is None else so_far.where(F.col("k") > low), so_far))
         low = high
     spans = found[0]
