@@ -189,7 +189,7 @@ def pose_validate(spark, sf_dir):
 
 
 @query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN event_id % 2 = 0 THEN '{"fx": ' || event_id || ', "fy": 2.5, "cx": 1.5, "cy": 0.5}' END, '$.fx') AS DOUBLE), 577.870605) AS fx,
-       CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 239.5 END AS cy FROM events""")
+       CAST(CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 239.5 END AS DOUBLE) AS cy FROM events""")
 def intrinsics_json(spark, sf_dir):
     from ..config import Intrinsics
 
