@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..session import small_batches  # noqa: F401
 
+_own: dict[str, str] = {}
+
 #: Words of a text: maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,18 +21,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none (tests on one machine) a temporary folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="voxelith-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="voxelith-")
+        root = _own[context.applicationId]
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_root(spark)}/voxelith/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder; folders on this machine are deleted when Python ends."""
+    path = f"{shared_root(spark)}/voxelith/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+    return path
 
 
 def stored(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
@@ -69,12 +78,9 @@ def ranked(df: DataFrame, group: list[str], part: str, order: list[Column], name
     amount = F.lit(1).cast("long") if amount is None else amount
     sums = df.groupBy(*group, part).agg(F.sum(amount).alias("__sum"))
     before = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in [*group, part]], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    within = W.partitionBy(*group, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    own = df.withColumn("__own", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, part]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return own.join(sums, on, "left").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", *[f"__{c}" for c in [*group, part]])
-
+    # one struct as the key of the window and the join, so the rows are shuffled once; its fields may be null
+    key = F.struct(*group, part).alias("__key")
+    sums = sums.select(key, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = W.partitionBy("__key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = df.withColumn("__key", F.struct(*group, part)).withColumn("__own", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return own.join(sums, "__key").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__key", "__own", "__before")

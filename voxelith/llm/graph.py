@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remove, scratch, stored
+from .common import release, remove, scratch, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -16,15 +16,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     path = scratch(spark, "components")
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{path}/edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), f"{path}/0")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.col("node").alias("old"), F.least("node", "least").alias("root")), f"{path}/0")
     for i in range(1, rounds + 1):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("a") == F.col("node")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), "root")
+        lower = labels.select("node", F.col("root").alias("old"), "root").union(near).groupBy("node").agg(F.max("old").alias("old"), F.min("root").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         new = stored(lower.join(up, "root").select("node", "old", F.least("root", "above").alias("root")), f"{path}/{i}")
         changed = new.where("old <> root").limit(1).count()
         remove(spark, f"{path}/{i - 1}")
-        labels = new.select("node", "root")
+        release(spark)
+        labels = new
         if not changed:
-            return labels
+            return labels.select("node", "root")
     raise RuntimeError(f"components are not complete after {rounds} rounds")

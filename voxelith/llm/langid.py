@@ -9,12 +9,12 @@ where even that is far for a text of its size.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import small_batches
@@ -99,12 +99,21 @@ def fit(rows: DataFrame, clusters: int = 4) -> Model | None:
             found = trigram_counts(data, offsets)
             yield pa.record_batch({"lang": part.column(0), "counts": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    sample = drawn.mapInArrow(count, "lang string, counts binary").toArrow()
-    sample = sample.take(pa.compute.sort_indices(sample, [("lang", "ascending"), ("counts", "ascending")])) if len(sample) else sample
-    langs = np.array(sample["lang"].to_pylist())
-    if not len(langs):
-        return None
-    counts = np.stack([np.frombuffer(x, np.float32) for x in sample["counts"].to_pylist()])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((lang, x) for b in batches for lang, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        model = modelled(sample, clusters) if sample else None
+        if model:
+            yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # the bounded sample meets in one task, which sends back the model
+    found = drawn.mapInArrow(count, "lang string, counts binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
+def modelled(sample: list[tuple[str, bytes]], clusters: int) -> Model | None:
+    """The model of (language, trigram counts)."""
+    langs = np.array([lang for lang, _ in sample])
+    counts = np.stack([np.frombuffer(x, np.float32) for _, x in sample])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = vectors(counts, idf)
     known = counts.sum(axis=1) > 0
@@ -117,11 +126,11 @@ def fit(rows: DataFrame, clusters: int = 4) -> Model | None:
         return None
     centroids = np.concatenate(found).astype(np.float32)
     best = (x[known] @ centroids.T).max(axis=1)
-    floors, sizes_ = np.zeros(16), size_class(counts[known])
+    floors, sizes = np.zeros(16), size_class(counts[known])
     for s in range(16):
-        near = best[np.abs(sizes_ - s) <= 1]
+        near = best[np.abs(sizes - s) <= 1]
         floors[s] = REJECT_SHARE * near.min() if len(near) else 0
-    return Model(languages, idf, centroids, np.array(owner), floors)
+    return Model([str(x) for x in languages], idf, centroids, np.array(owner), floors)
 
 
 def judged(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

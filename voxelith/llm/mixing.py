@@ -16,8 +16,6 @@ BLOCK_WORDS, LEAST_SLOTS = 2048, 100_000
 ROWS_A_RANGE, SLOTS_A_RANGE = 5_000, 65_536
 #: Cells of [0, 1) in which a point is looked up.
 CELLS = 4096
-#: Documents whose copies (20 bytes each) may be broadcast to the texts; beyond, they are merge-joined.
-BROADCAST_ROWS = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -102,8 +100,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     copies = F.round(F.sum("taken") / F.sum("size")).cast("int")
     plan = plan.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(copies.alias("__copies")).where("__copies > 0")
     plan = stored(plan, scratch(docs.sparkSession, "mix-copies"))
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.join(plan, F.col(key).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import release, remove, scratch, small_batches, stored
 from .graph import components
@@ -21,9 +21,9 @@ from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, un
 
 #: Registers are BANDS x ROWS: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Members that no leader binds are grouped again with LEADERS leaders, groups of over SMALL first in SPLITS ways, each by MORE
+#: Members that no leader binds are grouped again with four leaders, groups of over SMALL in SPLITS ways, each by MORE
 #: further registers: a pair of similarity 0.8 meets again in 3 of 4 cases, which leaves 2 in 100,000 such pairs without a bucket.
-LEADERS, SMALL, SPLITS, MORE = 3, 12, 8, 8
+SMALL, SPLITS, MORE = 12, 8, 8
 #: Texts whose digests (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 
@@ -109,8 +109,11 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float((1 / (up_a / a + below_b / b)).sum())
 
 
+PLACES = "array<struct<bucket: long, node: long, degree: long, n: long, registers: binary, leads: boolean>>"
+
+
 def verified_rows(k: int):
-    """(a, b, za, zb) to (a, b, similarity)."""
+    """(a, b, places, za, zb) to (a, b, places, similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpacked(unpacked(batches, z="za", text="ta"), z="zb", text="tb"):
@@ -125,30 +128,39 @@ def verified_rows(k: int):
                     own += [(h[i:j], n[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 sets.append(own)
             found = [probability_jaccard(*x, *y) for x, y in zip(*sets, strict=True)]
-            yield pa.record_batch({"a": part.column(0), "b": part.column(1), "similarity": pa.array(found, pa.float64())})
+            yield pa.record_batch([*part.columns[:3], pa.array(found, pa.float64())], names=["a", "b", "places", "similarity"])
 
     return run
 
 
 def shingle_rows(k: int):
-    """(node, z) to (node, shingle, weight)."""
+    """(node, z) to (node, shingle, share): share is of the node's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(unpacked(batches), "text"):
-            doc, h, n = counted(*shingles(Words(data, offsets, ~SPACE), k))
-            yield pa.record_batch({"node": part.column(0).take(pa.array(doc)), "shingle": pa.array(h.view(np.int64)), "weight": pa.array(1 + np.log(n))})
+            words = Words(data, offsets, ~SPACE)
+            doc, h, n = counted(*shingles(words, k))
+            weight = 1 + np.log(n)
+            share = weight / np.bincount(doc, weight, words.n_docs)[doc]
+            yield pa.record_batch({"node": part.column(0).take(pa.array(doc)), "shingle": pa.array(h.view(np.int64)), "share": pa.array(share)})
 
     return run
 
 
-def supports(rest: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, support): the share of a node's weight in shingles that other nodes of ``rest`` hold too, if above 0."""
-    own = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, weight double")
+def ruled_in(rest: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The rows of ``rest`` (bucket, node, ...) that may still have a link inside their bucket.
+
+    A node's support is the share of its weight in shingles that other nodes of ``rest`` hold too;
+    nodes of supports s and r have a similarity of 1 / (1/s + 1/r - 1) at most.
+    """
+    own = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, share double")
     own = stored(own, scratch(texts.sparkSession, "near-shingles"))
     both = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    total = own.groupBy("node").agg(F.sum("weight").alias("total"))
-    shared = own.join(both, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"))
-    return total.join(shared, "node").select("node", F.least(F.col("shared") / F.col("total") + 1e-9, F.lit(1.0)).alias("support"))
+    support = own.join(both, "shingle", "left_semi").groupBy("node").agg((F.sum("share") + 1e-9).alias("support"))
+    rest = rest.join(support, "node")
+    best = rest.groupBy("bucket").agg(F.max("support").alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
+    return rest.drop("support", "best")
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -157,7 +169,7 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
     No bucket makes all its pairs. Its leader is the member that meets the most others in all its
     buckets, so the middle of a group of copies, and the others are verified against it. Those that
     it doesn't bind, and that the shares of their shingles which others of them hold don't rule out,
-    form groups again, with LEADERS leaders; large ones are split by further registers. That goes on
+    form groups again, with four leaders; large ones are split by further registers. That goes on
     until no group is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that
     differ from a leader alike share buckets without that leader.
     """
@@ -165,51 +177,43 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
     small_batches(spark)
     path = scratch(spark, "near")
     sketches = docs.mapInArrow(sketch_rows(k, bands, rows), "node long, bands array<long>, registers binary")
-    sketches = stored(sketches, f"{path}/sketches")
-    members = sketches.select("node", F.explode("bands").alias("bucket")).distinct()
-    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(several, "bucket"), f"{path}/several")
+    sketches = stored(sketches.groupBy("node").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers")), f"{path}/sketches")
+    # counts are written before they are joined: then both sides are plain shuffles, whose hot buckets Spark splits
+    members = sketches.select("node", F.explode("bands").alias("bucket"))
+    several = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{path}/several")
+    members = stored(members.join(several, "bucket").select("bucket", "node", "n"), f"{path}/members-0")
     degrees = stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), f"{path}/need")
-    few = degrees.count() <= BROADCAST_KEYS
-    need = F.broadcast(degrees.select("node")) if few else degrees.select("node")
-    registers = stored(sketches.select("node", "registers").join(need, "node", "left_semi").groupBy("node").agg(F.first("registers").alias("registers")), f"{path}/registers")
+    need = F.broadcast(degrees.select("node")) if degrees.count() <= BROADCAST_KEYS else degrees.select("node")
+    registers = sketches.select("node", "registers").join(need, "node", "left_semi")
     texts = docs.join(need, "node", "left_semi").mapInArrow(packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
     texts = stored(texts, f"{path}/texts")
-    members = stored(members.join(degrees, "node").select("bucket", "node", "degree"), f"{path}/members-0")
-    remove(spark, f"{path}/sketches", f"{path}/several")
-    known, m, i = None, bands * rows, 0
-    while members.limit(1).count():
+    members = members.join(degrees, "node").select("bucket", "node", "degree", F.lit(None).cast("binary").alias("registers"))
+    m, i = bands * rows, 0
+    while True:
         i += 1
-        by_degree = W.partitionBy("bucket").orderBy(F.desc("degree"), "node")
-        leaders = members.withColumn("place", F.row_number().over(by_degree)).where(F.col("place") <= (1 if i == 1 else LEADERS)).select("bucket", F.col("node").alias("leader"))
-        pairs = members.join(leaders, "bucket").where("node <> leader")
-        pairs = stored(pairs.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"{path}/pairs-{i}")
-        ask = pairs.select("a", "b").distinct()
-        if known is not None:
-            ask = ask.join(known, ["a", "b"], "left_anti")
+        orders = [F.struct("degree", "node"), F.struct(F.xxhash64("node").alias("h"), F.col("node"))]
+        tops = [F.max(orders[0])] if i == 1 else [f(x) for x in orders for f in (F.max, F.min)]
+        leaders = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[t["node"] for t in tops])).alias("leaders")).where("n > 1")
+        if i == 1:
+            leaders = stored(leaders, f"{path}/leaders")
+        pairs = members.join(leaders, "bucket").select("bucket", "node", "degree", "n", "registers", F.array_contains("leaders", F.col("node")).alias("leads"), F.explode("leaders").alias("leader")).where("node <> leader")
+        ask = pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.collect_list(F.struct("bucket", "node", "degree", "n", "registers", "leads")).alias("places"))
         ask = ask.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-        ask = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a long, b long, similarity double")
-        ask.write.mode("append").parquet(f"{path}/links")
-        known = spark.read.schema("a long, b long, similarity double").parquet(f"{path}/links")
-        best = pairs.join(known, ["a", "b"]).groupBy("bucket", "node").agg(F.first("degree").alias("degree"), F.max("similarity").alias("best"))
-        rest = best.where(F.col("best") < threshold).select("bucket", "node", "degree")
-        rest = stored(rest.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti"), f"{path}/rest-{i}")
-        if not rest.limit(1).count():
-            break
-        # two sets that hold shares s and r of each other have a similarity of 1 / (1/s + 1/r - 1) at most
-        rest = rest.join(supports(rest, texts, k), "node")
-        group = rest.groupBy("bucket").agg(F.max("support").alias("best"))
-        rest = rest.join(group, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
-        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rest = rest.join(alive, "bucket").join(registers, "node")
+        links = stored(ask.select("a", "b", "places", "za", "zb").mapInArrow(verified_rows(k), f"a long, b long, places {PLACES}, similarity double"), f"{path}/links/round={i}")
+        remove(spark, f"{path}/members-{i - 1}")
+        rest = links.select("similarity", F.inline("places")).where("NOT leads").groupBy("bucket", "node", "degree", "n").agg(F.first("registers").alias("registers"), F.max("similarity").alias("best"))
+        rest = rest.where(F.col("best") < threshold).drop("best")
+        if i == 1:
+            rest = ruled_in(stored(rest.drop("registers"), f"{path}/rest"), texts, k, threshold).join(registers, "node")
         at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * 13 + x * 11) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
-        rest = rest.select("node", "degree", F.explode(F.when(F.col("n") > SMALL, F.array(*at)).otherwise(F.array("bucket"))).alias("bucket"))
-        alive = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        members = stored(rest.join(alive, "bucket", "left_semi").select("bucket", "node", "degree"), f"{path}/members-{i}")
-        remove(spark, f"{path}/pairs-{i}", f"{path}/rest-{i}", f"{path}/members-{i - 1}")
+        rest = rest.select("node", "degree", "registers", F.explode(F.when(F.col("n") > SMALL, F.array(*at)).otherwise(F.array("bucket"))).alias("bucket"))
+        members = stored(rest.select("bucket", "node", "degree", "registers"), f"{path}/members-{i}")
         release(spark)
-    release(spark)
-    return known.where(F.col("similarity") >= threshold) if known is not None else spark.createDataFrame([], "a long, b long, similarity double")
+        if not members.limit(1).count():
+            break
+    remove(spark, *[f"{path}/{x}" for x in ("sketches", "several", "need", "leaders", "rest", "texts", f"members-{i}")])
+    known = spark.read.schema("a long, b long, similarity double").parquet(f"{path}/links")
+    return known.where(F.col("similarity") >= threshold).select("a", "b", "similarity").distinct()
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -52,7 +52,7 @@ def op9_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = neardup.near_classes(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
-    return classes.select("doc_id", "class_id", "class_size", "n_links", "keep")
+    return classes.select("doc_id", "class_id", "class_size", "keep")
 
 
 QUERIES = {
@@ -94,5 +94,41 @@ n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*) AS n_common FROM ds JOIN bs USING (k, x) GROUP BY doc_id, item_id)
 SELECT doc_id, c.item_id AS item_id, n_shingles, n_common, n_common / n_shingles AS containment
 FROM c JOIN n ON c.item_id = n.item_id WHERE n_common >= 0.8 * n_shingles - 1e-9
+""",
+    "op9_link_tool_calls": r"""
+WITH t AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
+u AS (SELECT conv_id, turn, count(*) AS n FROM t WHERE role = 'user' GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id, turn)
+SELECT t.conv_id AS conv, t.turn AS pos, kind,
+       CASE kind WHEN 'call' THEN t.conv_id || ':' || t.turn WHEN 'result' THEN t.conv_id || ':' || (t.turn - 1) END AS id,
+       CAST(row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn) - 1 AS BIGINT) AS place, 0 AS level,
+       CASE WHEN kind = 'result' THEN u.turn END AS call_pos, kind = 'result' AND u.turn IS NULL AS orphan,
+       CASE WHEN kind = 'call' THEN CAST(coalesce(a.n, 0) AS BIGINT) END AS answers, CASE WHEN kind = 'result' AND u.turn IS NULL THEN 'no call' END AS problem,
+       CASE kind WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || t.turn || '},"id":"' || t.conv_id || ':' || t.turn || '","name":"reply","type":"call"}'
+                 WHEN 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || t.conv_id || ':' || (t.turn - 1) || '","type":"result"}'
+                 ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"type":"message"}' END AS json
+FROM t LEFT JOIN u ON u.conv_id = t.conv_id AND u.turn = t.turn - 1 LEFT JOIN a ON a.conv_id = t.conv_id AND a.turn = t.turn + 1
+""",
+    "op10_prob_minhash": r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS node, count(*) AS n FROM documents GROUP BY text),
+w AS (SELECT node, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+runs AS (SELECT node, w, least(5, len(w)) AS k, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS s FROM w WHERE len(w) > 0),
+sh AS (SELECT node, array_to_string(w[s + 1 : s + k], ' ') AS x, 1 + ln(count(*)) AS wt FROM runs GROUP BY node, x),
+tot AS (SELECT node, sum(wt) AS total, count(*) AS m, max(wt) AS top FROM sh GROUP BY node),
+near AS (SELECT a.node AS a, b.node AS b, sum(a.wt) AS oa, sum(b.wt) AS ob, count(*) AS o FROM sh a JOIN sh b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node),
+cand AS (SELECT near.*, ta.total AS wa, tb.total AS wb, ta.m AS ma, tb.m AS mb, greatest(ta.top, tb.top) AS top FROM near JOIN tot ta ON ta.node = a JOIN tot tb ON tb.node = b
+         WHERE ta.total / oa + tb.total / ob - 1 <= 1.25 + 1e-9),
+plain AS (SELECT a, b, o / (ma + mb - o) AS sim FROM cand WHERE top = 1),
+common AS (SELECT c.a AS a, c.b AS b, sa.wt AS x, sb.wt AS y, wa - oa AS ra, wb - ob AS rb FROM cand c JOIN sh sa ON sa.node = c.a JOIN sh sb ON sb.node = c.b AND sb.x = sa.x WHERE top > 1),
+kinds AS (SELECT a, b, x, y, ra, rb, count(*) AS n FROM common GROUP BY a, b, x, y, ra, rb),
+terms AS (SELECT d.a AS a, d.b AS b, d.n AS n, sum(e.n * greatest(e.x / d.x, e.y / d.y)) + max(d.ra) / d.x + max(d.rb) / d.y AS t
+          FROM kinds d JOIN kinds e ON d.a = e.a AND d.b = e.b GROUP BY d.a, d.b, d.n, d.x, d.y),
+sims AS (SELECT a, b, sim FROM plain UNION ALL SELECT a, b, sum(n / t) AS sim FROM terms GROUP BY a, b),
+e AS (SELECT a, b FROM sims WHERE sim >= 0.8 UNION SELECT b, a FROM sims WHERE sim >= 0.8),
+reach AS (SELECT node, node AS root FROM t UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.node = e.a),
+classes AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+sizes AS (SELECT root, CAST(sum(n) AS BIGINT) AS class_size FROM classes JOIN t ON t.node = classes.node GROUP BY root)
+SELECT doc_id, c.root AS class_id, class_size, doc_id = c.root AS keep
+FROM documents d JOIN t ON t.text = d.text JOIN classes c ON c.node = t.node JOIN sizes s ON s.root = c.root
 """,
 }

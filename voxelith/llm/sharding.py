@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cell, ranked, unit
 
 #: Rows of a shard that one task ranks, on average.
-ROWS_A_RANGE = 50_000
+ROWS_A_RANGE = 5_000
 
 
 def shard_of(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:

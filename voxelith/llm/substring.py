@@ -246,7 +246,7 @@ class WindowIndex:
         both = both.withColumn("first", first).withColumn("unsure", F.coalesce("hot", F.lit(False)) | mixed)
         kind = F.when(F.col("fresh"), F.when(~F.col("first"), "repeat").when(F.col("unsure"), "unsure").otherwise("sure")).when(F.col("first") & F.col("unsure"), "old")
         run = f"{self.path}/run-{self.batches}"
-        both.withColumn("kind", kind).where("kind IS NOT NULL").select("fp", "ctx", "k", "occ", "lo", "hi", "kind").write.partitionBy("kind").parquet(run)
+        both.withColumn("kind", kind).where("kind IS NOT NULL").select("fp", "ctx", "k", "occ", "lo", "hi", "kind").sortWithinPartitions("kind", "fp", "ctx").write.partitionBy("kind").parquet(run)
         judged = spark.read.schema(ANCHORS + ", kind string").parquet(run)
         repeats = judged.where("kind = 'repeat'").select("k", "occ", "lo", "hi")
         spans = judged.where("kind IN ('unsure', 'old')").groupBy("k", "occ", (F.col("kind") == "unsure").alias("fresh")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -35,7 +35,7 @@ def encoder(name: str, content: bytes):
         own = Tokenizer.from_buffer(content)
         own.no_truncation()
         own.no_padding()
-        return lambda texts: [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
     if name.endswith(".model"):
         import sentencepiece
 
@@ -111,5 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     fresh = todo.mapInArrow(encoded(tokenizer, spark.sparkContext.broadcast(content)), "digest binary, n_tokens long")
     fresh.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     remove(spark, path)
-    out = keys.join(cached(spark, cache, version), "digest")
+    # written first, so that both sides are plain shuffles and Spark can split a digest that many rows share
+    counts = stored(cached(spark, cache, version), scratch(spark, "token-counts"))
+    out = keys.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
