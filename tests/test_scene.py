@@ -115,6 +115,15 @@ def test_extract_renumbers_and_resizes(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "x" / "c" / "pose").iterdir()) == ["0.txt", "2.txt", "4.txt"]
 
 
+def test_ingest_writes_frame_folders(spark, tmp_path):
+    path = str(tmp_path / "d.sens")
+    stream(path, 3)
+    assert scene.ingest(spark, [path], str(tmp_path / "frames"), 2, 8, 12) == 2
+    rows = folders.images(spark, str(tmp_path / "frames"))
+    assert sorted((r.scene, r.frame) for r in rows.collect()) == [("d", "000000"), ("d", "000001")]
+    assert folders.intrinsics(spark, str(tmp_path / "frames")).first()["fx"] == 1.0
+
+
 def test_npz(spark, tmp_path):
     path = str(tmp_path / "a.npz")
     p = np.random.default_rng(0).random((5, 3)).astype(np.float32)

@@ -173,15 +173,28 @@ def colored_scene(spark: SparkSession, out: str, scene: str, hits: DataFrame, cf
     return coloring.overlay(points, hits.select("point_id", "score"), cfg.overlay_alpha, cfg.overlay_bins)
 
 
-def extract(spark: SparkSession, paths: list[str], frame_skip: int = 1, height: int = 480, width: int = 640) -> DataFrame:
-    """Sensor streams as resized frames (scene, export_idx, color, depth, pose); a missing file fails the whole call."""
+def sensor_frames(spark: SparkSession, paths: list[str], frame_skip: int = 1) -> DataFrame:
+    """Every ``frame_skip``-th frame of sensor streams, renumbered; a missing file fails the whole call."""
     import json
 
     from ..sources import sens
 
     sens.register(spark)
     rows = spark.read.format("sens").option("paths", json.dumps(paths)).option("frameSkip", str(frame_skip)).load()
-    return folders.resized_frames(frames.exported_frames(rows, frame_skip), height, width)
+    return frames.exported_frames(rows, frame_skip)
+
+
+def extract(spark: SparkSession, paths: list[str], frame_skip: int = 1, height: int = 480, width: int = 640) -> DataFrame:
+    """Sensor streams as resized frames (scene, export_idx, color, depth, pose)."""
+    return folders.resized_frames(sensor_frames(spark, paths, frame_skip), height, width)
+
+
+def ingest(spark: SparkSession, paths: list[str], root: str, frame_skip: int = 1, height: int = 480, width: int = 640) -> int:
+    """Sensor streams to frame folders and intrinsics below ``root``; returns the number of frames written."""
+    rows = sensor_frames(spark, paths, frame_skip)
+    folders.write_frames(folders.resized_frames(rows, height, width), root)
+    folders.write_intrinsics(rows, root, height, width)
+    return rows.count()
 
 
 def video_manifest(frame_list: DataFrame, fps: int = 30) -> DataFrame:

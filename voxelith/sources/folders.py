@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,5 +125,38 @@ def resized_frames(rows: DataFrame, height: int = 480, width: int = 640) -> Data
     return rows.mapInPandas(run, "scene string, export_idx long, color binary, depth binary, pose array<double>")
 
 
+def write_frames(rows: DataFrame, root: str) -> None:
+    """Writes (scene, export_idx, color, depth, pose) as frame folders below ``root``, a store that all executors see.
+
+    Each file is written beside its place and renamed, so a lost task leaves no half file.
+    """
+    ship(rows.sparkSession)
+
+    def put(where: str, name: str, body: bytes) -> None:
+        with open(f"{where}/.{name}.tmp", "wb") as f:
+            f.write(body)
+        os.replace(f"{where}/.{name}.tmp", f"{where}/{name}")
+
+    def write(part: Iterator) -> None:
+        for r in part:
+            where = os.path.join(root, r["scene"], f"{r['export_idx']:06d}")
+            os.makedirs(where, exist_ok=True)
+            pose = io.BytesIO()
+            np.save(pose, np.array(r["pose"], np.float32).reshape(4, 4))
+            for name, body in ((COLOR_FILE, bytes(r["color"])), (DEPTH_FILE, bytes(r["depth"])), (POSE_FILES[0], pose.getvalue())):
+                put(where, name, body)
+
+    rows.select("scene", "export_idx", "color", "depth", "pose").foreachPartition(write)
+
+
+def write_intrinsics(streams: DataFrame, root: str, height: int, width: int) -> None:
+    """Writes each scene's intrinsics.json from the depth camera of its sensor stream; one small row a scene."""
+    for r in streams.groupBy("scene").agg(F.first("intrinsic_depth").alias("m")).collect():
+        os.makedirs(os.path.join(root, r["scene"]), exist_ok=True)
+        body = {"fx": r["m"][0], "fy": r["m"][5], "cx": r["m"][2], "cy": r["m"][6], "width": width, "height": height}
+        with open(os.path.join(root, r["scene"], "intrinsics.json"), "w") as f:
+            json.dump(body, f)
+
+
 def frame_folder(index: Column) -> Column:
     return F.lpad(index.cast("string"), 6, "0")
