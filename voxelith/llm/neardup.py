@@ -169,8 +169,8 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
     No bucket makes all its pairs. Its leader is the member that meets the most others in all its
     buckets, so the middle of a group of copies, and the others are verified against it. Those that
     it doesn't bind, and that the shares of their shingles which others of them hold don't rule out,
-    form groups again, with four leaders; large ones are split by further registers. That goes on
-    until no group is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that
+    form groups again, with four leaders; large ones are split by further registers. Members of groups
+    of up to SMALL stay even if bound, so there every pair is compared. That goes on until no group is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that
     differ from a leader alike share buckets without that leader.
     """
     spark = docs.sparkSession
@@ -202,7 +202,7 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
         links = stored(ask.select("a", "b", "places", "za", "zb").mapInArrow(verified_rows(k), f"a long, b long, places {PLACES}, similarity double"), f"{path}/links/round={i}")
         remove(spark, f"{path}/members-{i - 1}")
         rest = links.select("similarity", F.inline("places")).where("NOT leads").groupBy("bucket", "node", "degree", "n").agg(F.first("registers").alias("registers"), F.max("similarity").alias("best"))
-        rest = rest.where(F.col("best") < threshold).drop("best")
+        rest = rest.where((F.col("best") < threshold) | (F.col("n") <= SMALL)).drop("best")
         if i == 1:
             rest = ruled_in(stored(rest.drop("registers"), f"{path}/rest"), texts, k, threshold).join(registers, "node")
         at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * 13 + x * 11) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
