@@ -124,6 +124,14 @@ def test_ingest_writes_frame_folders(spark, tmp_path):
     assert folders.intrinsics(spark, str(tmp_path / "frames")).first()["fx"] == 1.0
 
 
+def test_pictures_are_rgb(spark, tmp_path):
+    x = np.random.default_rng(4).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(png_bytes(x))
+    (tmp_path / "b.png").write_bytes(png_bytes(x[:, :, 0].copy()))
+    got = {r.path[-5:]: np.frombuffer(bytes(r.rgb), np.uint8).reshape(r.height, r.width, 3) for r in folders.pictures(spark, str(tmp_path)).collect()}
+    assert (got["a.png"] == x).all() and (got["b.png"] == x[:, :, :1]).all()
+
+
 def test_npz(spark, tmp_path):
     path = str(tmp_path / "a.npz")
     p = np.random.default_rng(0).random((5, 3)).astype(np.float32)
