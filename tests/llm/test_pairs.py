@@ -172,6 +172,24 @@ def test_near_classes_in_a_large_group(spark):
     assert [got[i] for i, _ in rows] == [rows[c][0] for c in want]
 
 
+def offspring(n, first, second):
+    """A text, then n pairs: x has a run of ``first`` words of its own, y is x with a run of ``second`` words of its own elsewhere."""
+    base = prose(32, 200).split()
+    rows = [(0, " ".join(base))]
+    for i in range(n):
+        x = [f"x{i}w{j}" for j in range(first)] + base[first:]
+        at = 70 + i % 100
+        y = x[:at] + [f"y{i}w{j}" for j in range(second)] + x[at + second :]
+        rows += [(2 * i + 1, " ".join(x)), (2 * i + 2, " ".join(y))]
+    return rows
+
+
+def test_near_classes_of_pairs_that_no_leader_binds(spark):
+    rows = offspring(80, 50, 14)
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=6, rows=1).collect()}
+    assert [got[i] for i, _ in rows] == [0] + [i for i in range(1, 160, 2) for _ in range(2)]
+
+
 def test_near_edges(spark, edge, empty):
     out = neardup.near_classes(edge)
     got = collections.defaultdict(list)

@@ -21,9 +21,8 @@ from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, un
 
 #: Registers are BANDS x ROWS: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Members that no leader binds are grouped again with four leaders, groups of over SMALL in SPLITS ways, each by MORE
-#: further registers: a pair of similarity 0.8 meets again in 3 of 4 cases, which leaves 2 in 100,000 such pairs without a bucket.
-SMALL, SPLITS, MORE = 12, 8, 8
+#: Rounds of leaders at most, and cross pairs a member up to which no more rounds are made; both bound the work, not the result.
+ROUNDS, PAIRS_A_MEMBER = 2, 4
 #: Texts whose digests (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 
@@ -65,7 +64,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def sketch_rows(k: int, bands: int, rows: int):
-    """(node, text) to (node, bands, registers); texts without words have no bands."""
+    """(node, text) to (node, bands); texts without words have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches, "text"):
@@ -75,10 +74,7 @@ def sketch_rows(k: int, bands: int, rows: int):
             band = mix(runs_of(sig.reshape(-1, rows)) + np.tile(np.arange(bands, dtype=U), words.n_docs) * U(0x9E3779B97F4A7C15)).view(np.int64)
             some = words.count > 0
             ends = np.append(0, np.cumsum(np.where(some, bands, 0))).astype(np.int32)
-            yield pa.record_batch({
-                "node": part.column(0), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(band.reshape(-1, bands)[some].ravel())),
-                "registers": pa.array([r.tobytes() for r in (sig >> U(56)).astype(np.uint8)], pa.binary()),
-            })
+            yield pa.record_batch({"node": part.column(0), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(band.reshape(-1, bands)[some].ravel()))})
 
     def runs_of(x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), U)
@@ -109,11 +105,8 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float((1 / (up_a / a + below_b / b)).sum())
 
 
-PLACES = "array<struct<bucket: long, node: long, degree: long, n: long, registers: binary, leads: boolean>>"
-
-
 def verified_rows(k: int):
-    """(a, b, places, za, zb) to (a, b, places, similarity)."""
+    """(a, b, za, zb) to (a, b, similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpacked(unpacked(batches, z="za", text="ta"), z="zb", text="tb"):
@@ -128,7 +121,7 @@ def verified_rows(k: int):
                     own += [(h[i:j], n[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 sets.append(own)
             found = [probability_jaccard(*x, *y) for x, y in zip(*sets, strict=True)]
-            yield pa.record_batch([*part.columns[:3], pa.array(found, pa.float64())], names=["a", "b", "places", "similarity"])
+            yield pa.record_batch([*part.columns[:2], pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
@@ -147,73 +140,87 @@ def shingle_rows(k: int):
     return run
 
 
+def divided(rest: DataFrame) -> DataFrame:
+    """The rows of ``rest`` (bucket, root, ...) whose bucket holds members of several classes."""
+    several = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    return rest.join(several, "bucket")
+
+
 def ruled_in(rest: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The rows of ``rest`` (bucket, node, ...) that may still have a link inside their bucket.
+    """The rows of ``rest`` (bucket, node, root, ...) that may still have a link to another class inside their bucket.
 
-    A node's support is the share of its weight in shingles that other nodes of ``rest`` hold too;
-    nodes of supports s and r have a similarity of 1 / (1/s + 1/r - 1) at most.
+    A node's support is the share of its weight in shingles that nodes of other classes in ``rest``
+    hold too; nodes of supports s and r have a similarity of 1 / (1/s + 1/r - 1) at most.
     """
-    own = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, share double")
-    own = stored(own, scratch(texts.sparkSession, "near-shingles"))
-    both = own.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    path = scratch(texts.sparkSession, "near-shingles")
+    nodes = stored(rest.select("node", "root").distinct(), f"{path}/nodes")
+    own = texts.join(nodes, "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, share double")
+    own = stored(own.join(nodes, "node"), f"{path}/shares")
+    both = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
     support = own.join(both, "shingle", "left_semi").groupBy("node").agg((F.sum("share") + 1e-9).alias("support"))
-    rest = rest.join(support, "node")
-    best = rest.groupBy("bucket").agg(F.max("support").alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
-    rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9))
-    return rest.drop("support", "best")
+    rest = rest.join(support.where(F.col("support") >= threshold - 1e-9), "node")
+    best = rest.groupBy("bucket").agg(F.max("support").alias("best"))
+    rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9)).drop("best")
+    out = stored(divided(rest), f"{path}/rest")
+    remove(texts.sparkSession, f"{path}/nodes", f"{path}/shares")
+    return out
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity): links between different texts; ``docs`` has (node, text), node the text's digest.
 
-    No bucket makes all its pairs. Its leader is the member that meets the most others in all its
-    buckets, so the middle of a group of copies, and the others are verified against it. Those that
-    it doesn't bind, and that the shares of their shingles which others of them hold don't rule out,
-    form groups again, with four leaders; large ones are split by further registers. Members of groups
-    of up to SMALL stay even if bound, so there every pair is compared. That goes on until no group is left. A pair of similarity 0.8 shares 11 buckets on average, and copies that
-    differ from a leader alike share buckets without that leader.
+    The links' components are those of all pairs that share a bucket. In a round each bucket's leader
+    (at first the member that meets the most others in all its buckets, so the middle of a group of
+    copies, later four) is verified against the members of other classes. Classes are then the
+    components of all links found, and only pairs of different classes matter; members that the
+    shares of their shingles which other classes hold rule out are left. At last every
+    pair of different classes inside a bucket is verified, be its members bound to others or not.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = scratch(spark, "near")
-    sketches = docs.mapInArrow(sketch_rows(k, bands, rows), "node long, bands array<long>, registers binary")
-    sketches = stored(sketches.groupBy("node").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers")), f"{path}/sketches")
+    sketches = docs.mapInArrow(sketch_rows(k, bands, rows), "node long, bands array<long>")
+    sketches = stored(sketches.groupBy("node").agg(F.first("bands").alias("bands")), f"{path}/sketches")
     # counts are written before they are joined: then both sides are plain shuffles, whose hot buckets Spark splits
     members = sketches.select("node", F.explode("bands").alias("bucket"))
     several = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{path}/several")
     members = stored(members.join(several, "bucket").select("bucket", "node", "n"), f"{path}/members-0")
     degrees = stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), f"{path}/need")
     need = F.broadcast(degrees.select("node")) if degrees.count() <= BROADCAST_KEYS else degrees.select("node")
-    registers = sketches.select("node", "registers").join(need, "node", "left_semi")
     texts = docs.join(need, "node", "left_semi").mapInArrow(packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
     texts = stored(texts, f"{path}/texts")
-    members = members.join(degrees, "node").select("bucket", "node", "degree", F.lit(None).cast("binary").alias("registers"))
-    m, i = bands * rows, 0
-    while True:
-        i += 1
-        orders = [F.struct("degree", "node"), F.struct(F.xxhash64("node").alias("h"), F.col("node"))]
-        tops = [F.max(orders[0])] if i == 1 else [f(x) for x in orders for f in (F.max, F.min)]
-        leaders = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[t["node"] for t in tops])).alias("leaders")).where("n > 1")
-        if i == 1:
-            leaders = stored(leaders, f"{path}/leaders")
-        pairs = members.join(leaders, "bucket").select("bucket", "node", "degree", "n", "registers", F.array_contains("leaders", F.col("node")).alias("leads"), F.explode("leaders").alias("leader")).where("node <> leader")
-        ask = pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.collect_list(F.struct("bucket", "node", "degree", "n", "registers", "leads")).alias("places"))
+    members = members.join(degrees, "node").select("bucket", "node", F.col("node").alias("root"), "degree")
+    known = spark.read.schema("a long, b long, similarity double")
+
+    def verify(ask: DataFrame, i: int) -> DataFrame:
+        ask = ask.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         ask = ask.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-        links = stored(ask.select("a", "b", "places", "za", "zb").mapInArrow(verified_rows(k), f"a long, b long, places {PLACES}, similarity double"), f"{path}/links/round={i}")
-        remove(spark, f"{path}/members-{i - 1}")
-        rest = links.select("similarity", F.inline("places")).where("NOT leads").groupBy("bucket", "node", "degree", "n").agg(F.first("registers").alias("registers"), F.max("similarity").alias("best"))
-        rest = rest.where((F.col("best") < threshold) | (F.col("n") <= SMALL)).drop("best")
-        if i == 1:
-            rest = ruled_in(stored(rest.drop("registers"), f"{path}/rest"), texts, k, threshold).join(registers, "node")
-        at = [F.xxhash64("bucket", F.lit(i * SPLITS + j), *[F.substring("registers", (i * 31 + j * 13 + x * 11) % m + 1, 1) for x in range(MORE)]) for j in range(SPLITS)]
-        rest = rest.select("node", "degree", "registers", F.explode(F.when(F.col("n") > SMALL, F.array(*at)).otherwise(F.array("bucket"))).alias("bucket"))
-        members = stored(rest.select("bucket", "node", "degree", "registers"), f"{path}/members-{i}")
+        found = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a long, b long, similarity double")
+        return stored(found.where(F.col("similarity") >= threshold), f"{path}/links/round={i}")
+
+    for i in range(1, ROUNDS + 1):
+        orders = [F.struct("degree", "node", "root"), F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("root"))]
+        tops = [F.max(orders[0])] if i == 1 else [f(x) for x in orders for f in (F.max, F.min)]
+        leaders = members.groupBy("bucket").agg(F.array_distinct(F.array(*[F.struct(t["node"].alias("node"), t["root"].alias("root")) for t in tops])).alias("leaders"))
+        leaders = stored(leaders, f"{path}/leaders-{i}")
+        pairs = members.join(leaders, "bucket").select("node", "root", F.explode("leaders").alias("leader")).where("root <> leader.root")
+        bound = verify(pairs.select(F.col("node").alias("x"), F.col("leader.node").alias("y")), i).limit(1).count()
+        edges = known.parquet(f"{path}/links").select("a", "b")
+        roots = stored(components(edges), f"{path}/roots-{i}").select("node", F.col("root").alias("class"))
+        rest = members.drop("root").join(roots, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("root"), "degree")
+        members = ruled_in(stored(divided(rest), f"{path}/members-{i}"), texts, k, threshold)
+        remove(spark, f"{path}/members-{i - 1}", f"{path}/leaders-{i}", f"{path}/roots-{i}")
         release(spark)
-        if not members.limit(1).count():
+        cells = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        n, cross = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
+        if not bound or cross <= PAIRS_A_MEMBER * n:
             break
-    remove(spark, *[f"{path}/{x}" for x in ("sketches", "several", "need", "leaders", "rest", "texts", f"members-{i}")])
-    known = spark.read.schema("a long, b long, similarity double").parquet(f"{path}/links")
-    return known.where(F.col("similarity") >= threshold).select("a", "b", "similarity").distinct()
+    if n:
+        other = members.select("bucket", F.col("node").alias("y"), F.col("root").alias("other"), F.col("support").alias("r"))
+        limit = 1 / F.col("support") + 1 / F.col("r") - 1 <= 1 / (threshold - 1e-9)
+        verify(members.join(other, "bucket").where((F.col("root") < F.col("other")) & limit).select(F.col("node").alias("x"), "y"), i + 1)
+    remove(spark, *[f"{path}/{x}" for x in ("sketches", "several", "need", "texts", f"members-{i}")])
+    return known.parquet(f"{path}/links").select("a", "b", "similarity").distinct()
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
