@@ -190,6 +190,12 @@ def test_near_classes_of_pairs_that_no_leader_binds(spark):
     assert [got[i] for i, _ in rows] == [0] + [i for i in range(1, 160, 2) for _ in range(2)]
 
 
+def test_near_classes_through_bound_members(spark):
+    rows = offspring(80, 14, 14)
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=6, rows=1).collect()}
+    assert set(got.values()) == {0} and len(got) == 161
+
+
 def test_near_edges(spark, edge, empty):
     out = neardup.near_classes(edge)
     got = collections.defaultdict(list)
