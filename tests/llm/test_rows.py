@@ -74,6 +74,16 @@ def test_mix_without_words(spark):
     assert [(r.taken, r.target) for r in mixing.mix_sources(df).collect()] == [(0, 0.0)] * 2
 
 
+def test_mix_takes_small_sources_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 100)
+    rows = [(i, "w " * 1000, "a") for i in range(300)] + [(1000 + i, "v " * 100, "b") for i in range(5)] + [(2000 + i, "u " * 50, s) for s in "cd" for i in range(4)]
+    df = spark.createDataFrame([(i + 10_000 * ord(s), t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert all(r.taken == 2 * r.size and r.first_slot is not None for r in got if r.size < 1000)
+    assert sum(r.taken for r in got if r.size == 1000) == 451_350 - 2 * 900
+    assert mixing.mixed(df).where("source <> 'a'").count() == 26
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([(0, 50.0), (1, 20.0), (2, 30.0)], "sid int, target double")
     slots = mixing.schedule(targets, 1000).toPandas()

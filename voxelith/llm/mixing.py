@@ -57,11 +57,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, and text_hash and first_slot.
 
     size: words of the text (null: 0). Each source's documents, shuffled by a hash, form a stream
-    that is cut into blocks of equal words; the k-th slot of a source takes block k, and after the
-    last block the first again, up to ``cap`` passes. taken: the words of a document in the blocks
-    taken, repeats counted, so at most ``cap`` times its size; first_slot: its first block's slot
-    (null: not taken). A null source is a source; empty texts are never taken; equal rows stay
-    separate rows; an empty table gives an empty result; other columns are not read.
+    that is read from its start, and after its end again, until floor(target) words are taken.
+    taken: the words taken of a document, repeats counted, so at most ``cap`` times its size up to
+    the document where the reading ends. The stream is cut into blocks of equal words, and the k-th slot of a source holds block k;
+    first_slot: the slot of a document's first block (null: not taken). A source that has fewer
+    slots than blocks has the rest at even places. A null source is a source; empty texts are never
+    taken; equal rows stay separate rows; an empty table gives an empty result; other columns are
+    not read.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -70,31 +72,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = min(BLOCK_WORDS, max(1, int(total * share) // LEAST_SLOTS))
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), scratch(spark, "mix-targets"))
-    blocks = F.ceil(F.col("source_size") / block)
-    slots = schedule(targets, -(-int(total * share) // block)).join(targets.select("sid", blocks.alias("blocks")), "sid")
-    slots = slots.where(F.col("rank") < F.ceil(F.col("blocks") * F.lit(float(cap)))).groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("takes"), F.min("slot").alias("slot"))
+    slots = -(-int(total * share) // block)
+    points = schedule(targets, slots).join(targets.select("sid", F.ceil(F.col("source_size") / block).alias("blocks")), "sid").where("rank < blocks").select("sid", F.col("rank").alias("block"), "slot")
 
     known = targets.select(F.col("source").alias("__source"), "sid", "source_size", "target")
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source").withColumn("part", cell(F.col("h"), n // ROWS_A_RANGE + 1))
     order = [F.col(c).asc_nulls_first() for c in ("h", "doc_id", "size")]
     rows = ranked(rows, ["sid"], "part", order, "start", F.col("size")).drop("h", "part")
-    empty = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "text_hash", F.lit(None).cast("long").alias("first_slot"))
-    end = F.col("start") + F.col("size")
-    pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    pieces = pieces.withColumn("words", F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
-    taken = pieces.join(slots, ["sid", "block"], "left").groupBy("sid", "start").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")],
-        F.sum(F.coalesce(F.col("words") * F.col("takes"), F.lit(0))).cast("long").alias("taken"),
-        F.first("text_hash").alias("text_hash"),
-        F.min("slot").alias("first_slot"),
-    )
-    return taken.drop("sid", "start").unionByName(empty)
+    words, all_words = F.floor(F.col("target") + 1e-6), F.greatest(F.col("source_size"), F.lit(1))
+    passes, rest = F.floor(words / all_words), words % all_words
+    last = F.greatest(F.least(F.col("start") + F.col("size"), rest) - F.col("start"), F.lit(0))
+    rows = rows.withColumn("taken", (passes * F.col("size") + last).cast("long")).withColumn("block", F.floor(F.col("start") / block))
+    needed = passes * F.ceil(all_words / block) + F.ceil(rest / block)
+    even = F.floor((F.col("block") + 0.5) * slots / needed)
+    slot = F.when(F.col("taken") > 0, F.coalesce("slot", even)).cast("long")
+    return rows.join(points, ["sid", "block"], "left").select("doc_id", "size", "source_size", "target", "taken", "text_hash", slot.alias("first_slot"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as rows of ``docs``, all columns as they are: a document stands as often as its words taken make whole copies, rounded.
 
-    Only the document at which a source's last slot ends is taken in part.
+    Only the document at which the reading of a source ends is taken in part.
     """
     plan = mix_sources(docs, weights, share, cap, key, text, source).where("taken > 0")
     copies = F.round(F.sum("taken") / F.sum("size")).cast("int")
