@@ -4,6 +4,7 @@ import collections
 import json
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -278,6 +279,15 @@ def test_licenses(spark, docs, edge):
     assert got == sorted(want)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    def wrapped(label, text, mark):
+        return "\n".join([prose(1, 30), "", *[mark + x for x in textwrap.wrap(text, 72)], "", prose(2, 30)])
+
+    rows = [(i, label, wrapped(label, text, mark)) for i, (label, text, mark) in enumerate((a, b, m) for a, b in licenses.TEMPLATES.items() for m in ("", "# ", " * ", "// "))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, label, _ in rows)
+
+
 def test_license_edges(empty, edge):
     assert licenses.scan_licenses(empty).count() == 0
     assert licenses.scan_licenses(edge, templates={}).count() == edge.count()

@@ -48,9 +48,12 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(text), GAP, " ")), F.lit(" "))
 
 
+def word_run(text: str) -> list[str]:
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split()
+
+
 def template_words(text: str) -> list[str]:
-    kept = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.translate(str.maketrans(UPPER, LOWER)))
-    return list(dict.fromkeys(kept.split()))
+    return list(dict.fromkeys(word_run(text)))
 
 
 def plan_templates(templates: Mapping[str, str], frequency: Mapping[str, int], threshold: float) -> list[dict]:
@@ -64,7 +67,7 @@ def plan_templates(templates: Mapping[str, str], frequency: Mapping[str, int], t
         words = sorted(template_words(templates[label]), key=lambda w: (frequency.get(w, 0), w))
         if words:
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
-            out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1})
+            out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1, "span": len(word_run(templates[label]))})
     return out
 
 
@@ -75,28 +78,40 @@ def word_frequencies(norm: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def find_blocks(docs: DataFrame, plans: list[dict], text: str, keys: list[str]) -> DataFrame:
-    """keys, label, containment of every block (a line) that holds enough of a template's words.
+    """keys, label, containment of every block that holds enough of a template's words.
 
-    Prefix filter: the block's words that stand in a template's prefix are hash-joined with the
+    Blocks are lines and, for notices wrapped over lines, runs of as many words as the template has,
+    at every place of the text. Prefix filter: the block's words that stand in a template's prefix are hash-joined with the
     prefix postings. Position filter: only the first common word, in global order, makes the pair,
     and need - 1 words must be left in the template after it. Length filter: a block has at least
-    ``need`` distinct words. Survivors are verified on the whole sets.
+    ``need`` distinct words. Survivors are verified on the whole sets. A text whose words as a whole
+    don't pass has no run that does; in the others the runs that start with a template's word are verified.
     """
     spark = docs.sparkSession
     order = {w: i for i, w in enumerate(dict.fromkeys(w for p in plans for w in p["words"]))}
     prefix = sorted({w for p in plans for w in p["words"][: p["prefix"]]}, key=order.get)
-    rows = [(w, p["label"], i, p["words"], p["need"]) for p in plans for i, w in enumerate(p["words"][: p["prefix"]]) if len(p["words"]) - i >= p["need"]]
-    postings = spark.createDataFrame(rows, "word string, label string, position int, words array<string>, need int")
+    rows = [(w, p["label"], i, p["words"], p["need"], p["span"]) for p in plans for i, w in enumerate(p["words"][: p["prefix"]]) if len(p["words"]) - i >= p["need"]]
+    postings = spark.createDataFrame(rows, "word string, label string, position int, words array<string>, need int, span int")
     some = F.array(*[F.lit(w) for w in prefix])
     shortest = min(p["need"] for p in plans)
-    lines = docs.where(F.arrays_overlap(F.split(spaced(F.col(text)), " "), some)).select(*keys, F.explode(F.split(F.col(text), "\n")).alias("line"))
-    blocks = lines.select(*keys, F.array_distinct(F.filter(F.split(spaced(F.col("line")), " "), lambda w: w != "")).alias("block")).where(F.size("block") >= shortest)
-    heads = blocks.withColumn("word", F.explode(F.array_intersect("block", some)))
-    pairs = heads.join(F.broadcast(postings), "word").where(F.size("block") >= F.col("need"))
     first = F.array_position("words", F.element_at(F.array_intersect("words", "block"), 1)) - 1
     common = F.size(F.array_intersect("words", "block"))
-    pairs = pairs.where(F.col("position") == first).where(common >= F.col("need"))
-    return pairs.groupBy(*keys, "label").agg(F.max(common / F.size("words")).alias("containment"))
+
+    def passed(blocks: DataFrame) -> DataFrame:
+        heads = blocks.where(F.size("block") >= shortest).withColumn("word", F.explode(F.array_intersect("block", some)))
+        pairs = heads.join(F.broadcast(postings), "word").where(F.size("block") >= F.col("need"))
+        return pairs.where(F.col("position") == first).where(common >= F.col("need"))
+
+    held = docs.where(F.arrays_overlap(F.split(spaced(F.col(text)), " "), some))
+    lines = held.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("line"))
+    lines = passed(lines.select(*keys, F.array_distinct(F.filter(F.split(spaced(F.col("line")), " "), lambda w: w != "")).alias("block")))
+    runs = held.where(F.contains(F.col(text), F.lit("\n"))).select(*keys, F.split(F.trim(spaced(F.col(text))), " ").alias("run"))
+    runs = passed(runs.withColumn("block", F.array_distinct("run")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains("words", F.get("run", i - 1)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("words", F.slice("run", i, F.col("span"))))))
+    runs = runs.select(*keys, "label", "need", F.size("words").alias("n"), most.alias("common")).where(F.col("common") >= F.col("need"))
+    found = lines.select(*keys, "label", (common / F.size("words")).alias("containment")).unionByName(runs.select(*keys, "label", (F.col("common") / F.col("n")).alias("containment")))
+    return found.groupBy(*keys, "label").agg(F.max("containment").alias("containment"))
 
 
 def stands(parts: list[str]) -> Callable[[Column], Column]:
