@@ -329,6 +329,15 @@ def test_chat_links_orders_and_validates(spark):
         assert r.json == json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_chat_long_chain_backwards(spark):
+    n = 45
+    rows = [("a", n - i, "call", f"c{i}", f"c{i - 1}" if i else None, "f", '{"a":"1","b":1}', None) for i in range(n)]
+    rows += [("a", 0, "result", f"c{n - 1}", None, None, None, "r"), ("b", 0, "call", "x", "y", "f", "{}", None), ("b", 1, "call", "y", "x", "f", "{}", None), ("b", 2, "call", "z", "y", "f", "{}", None)]
+    got = formatted(spark, rows)
+    assert [got["a", n - i].level for i in range(n)] == [got["a", n - i].place for i in range(n)] == list(range(n))
+    assert got["a", 0].place == n and {got["b", i].level for i in range(3)} == {-1}
+
+
 def test_chat_query(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").toPandas()
     got = QUERIES["op9_link_tool_calls"](spark, sf).toPandas().set_index(["conv", "pos"])

@@ -76,31 +76,42 @@ def link(events: DataFrame) -> DataFrame:
     return out.withColumn("orphan", (F.col("kind") == "result") & F.col("call_pos").isNull()).withColumn("answers", F.when(F.col("kind") == "call", F.coalesce("answers", F.lit(0))))
 
 
-def levels(linked: DataFrame, rounds: int = 20) -> DataFrame:
+def levels(linked: DataFrame) -> DataFrame:
     """Adds level: 0, but for events that stand before what they depend on, which follow it.
 
-    An event depends on its call (a result) or parent (a call). Where every event stands after that,
-    the position is a topological order already and nothing moves. Else the late ones get a level
-    one above what they wait for, round by round, until all stand right. Events that still wait
-    after ``rounds`` rounds, in a cycle or a longer chain that runs backwards, get level -1, and so
-    does what depends on them.
+    An event depends on its call (a result) or parent (a call); of several calls with one id the
+    first counts. Where every event stands after that, the position is a topological order already
+    and nothing moves. Else an event has the level of what it waits for, and one more if it stands
+    before that: the number of steps backwards on its chain, summed by pointer doubling over the
+    conversations that have one. Events in a cycle get level -1, and so does what depends on them.
     """
     spark = linked.sparkSession
     path = scratch(spark, "chat-levels")
-    state = stored(linked.withColumn("dep", F.coalesce("call_key", "parent")).withColumn("level", F.lit(0)), f"{path}/0")
-    for i in range(1, 2 * rounds + 1):
-        calls = state.where("kind = 'call' AND id IS NOT NULL").groupBy(F.col("conv").alias("c"), F.col("id").alias("d")).agg(F.min(F.struct("level", "pos")).alias("before"))
-        wait = state.where("dep IS NOT NULL AND level >= 0").join(calls, F.col("conv").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("d")))
-        behind = F.struct("level", "pos") <= F.col("before")
-        late = wait.where((F.col("before.level") < 0) | (behind if i <= rounds else F.lit(False)))
-        up = F.when((F.col("before.level") < 0) | F.lit(i == rounds), F.lit(-1)).otherwise(F.col("before.level") + 1)
-        late = stored(late.select(F.col("row").alias("r"), up.alias("up")).distinct(), f"{path}/late-{i}")
-        if not late.limit(1).count():
+    events = stored(linked.withColumn("dep", F.coalesce("call_key", "parent")), f"{path}/events")
+    calls = events.where("kind = 'call' AND id IS NOT NULL").groupBy(F.col("conv").alias("c"), F.col("id").alias("i")).agg(F.min(F.struct("pos", "parent")).alias("own"))
+    calls = stored(calls.select("c", "i", F.col("own.pos").alias("at"), F.col("own.parent").alias("up")), f"{path}/calls")
+    behind = F.struct("pos") <= F.struct(F.col("at").alias("pos"))
+    late = events.where("dep IS NOT NULL").join(calls.drop("up"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("i"))).where(behind)
+    late = stored(late.select(F.col("conv").alias("h")).distinct(), f"{path}/late")
+    if not late.limit(1).count():
+        return events.drop("dep").withColumn("level", F.lit(0))
+    calls = calls.join(late, F.col("c").eqNullSafe(F.col("h")), "left_semi")
+    before = calls.select(F.col("c").alias("bc"), F.col("i").alias("bi"), F.col("at").alias("b_at"))
+    back = F.struct(F.col("at").alias("pos")) <= F.struct(F.col("b_at").alias("pos"))
+    steps = calls.join(before, F.col("c").eqNullSafe(F.col("bc")) & (F.col("up") == F.col("bi")), "left")
+    steps = stored(steps.select("c", "i", "at", F.col("bi").alias("up"), F.when(F.col("bi").isNotNull() & back, 1).otherwise(0).alias("n")), f"{path}/0")
+    longest = steps.groupBy("c").count().agg(F.max("count")).first()[0]
+    # after k rounds a pointer has passed 2**k calls; one that has passed all of a conversation and still points on is in a cycle
+    for k in range(1, int(longest).bit_length() + 1):
+        if not steps.where("up IS NOT NULL").limit(1).count():
             break
-        state = state.join(late, F.col("row") == F.col("r"), "left").withColumn("level", F.coalesce("up", "level")).drop("r", "up")
-        state = stored(state, f"{path}/{i}")
-        remove(spark, f"{path}/{i - 1}", f"{path}/late-{i}")
-    return state.drop("dep")
+        above = steps.select(F.col("c").alias("ac"), F.col("i").alias("ai"), F.col("up").alias("further"), F.col("n").alias("more"))
+        steps = steps.join(above, F.col("c").eqNullSafe(F.col("ac")) & (F.col("up") == F.col("ai")), "left")
+        steps = stored(steps.select("c", "i", "at", F.col("further").alias("up"), F.when(F.col("ai").isNull(), F.col("n")).otherwise(F.least(F.col("n") + F.col("more"), F.lit(2**30))).alias("n")), f"{path}/{k}")
+        remove(spark, f"{path}/{k - 1}")
+    out = events.join(steps, F.col("conv").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("i")), "left")
+    level = F.when(F.col("n").isNull(), 0).when(F.col("up").isNotNull(), -1).otherwise(F.col("n") + behind.cast("int"))
+    return out.withColumn("level", level).drop("dep", "c", "i", "at", "up", "n")
 
 
 def format_chats(events: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFrame:
