@@ -101,6 +101,8 @@ def weights(text, k=5):
 def j_p(a, b):
     both, out = set(a) & set(b), 0.0
     union = set(a) | set(b)
+    if {*a.values(), *b.values()} == {1.0}:
+        return len(both) / len(union)
     for d in both:
         out += 1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in union)
     return out
@@ -165,13 +167,56 @@ def group(n=120, size=200):
     return rows
 
 
-def test_near_classes_in_a_large_group(spark):
+@pytest.mark.parametrize("holders,pairs", [(128, 64), (2, 0)])
+def test_near_classes_in_a_large_group(spark, monkeypatch, holders, pairs):
+    monkeypatch.setattr(neardup, "HOLDERS", holders)
+    monkeypatch.setattr(neardup, "PAIRS_A_MEMBER", pairs)
     rows = group()
     want = classes(rows)
     got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == [rows[c][0] for c in want]
 
 
+@pytest.mark.parametrize("holders", [128, 0])
+def test_near_classes_of_shortened_copies(spark, monkeypatch, holders):
+    """A text and copies that lack a run of words, have others, or both: links that no leader has."""
+    monkeypatch.setattr(neardup, "HOLDERS", holders)
+    rng, base = np.random.default_rng(6), prose(41, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 100):
+        a, n, at = int(rng.integers(0, 150)), int(rng.integers(0, 45)), int(rng.integers(0, 150))
+        w = base[:a] + base[a + n :]
+        rows.append((i, " ".join(w[:at] + [f"v{i % 7}x{j}" for j in range(int(rng.integers(0, 12)))] + w[at:])))
+    want = classes(rows)
+    assert 3 < len(set(want)) < 90
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [rows[c][0] for c in want]
+
+
+def test_near_classes_of_edits_of_edits(spark):
+    """A text, 60 edits of it, and 40 texts that are near enough to their own edit, but not to the text."""
+    base = prose(33, 200).split()
+    rows, edits = [(0, " ".join(base))], []
+    for i in range(60):
+        w = list(base)
+        w[3 * i + 7] = f"a{i}"
+        edits.append(w)
+        rows.append((1 + i, " ".join(w)))
+    for i in range(40):
+        w, out = list(edits[i]), 0
+        own = weights(" ".join(w))
+        for j in range(199, -1, -1):
+            if abs(j - 3 * i - 7) > 5:
+                x = [*w[:j], f"b{i}x{j}", *w[j + 1 :]]
+                if j_p(weights(" ".join(x)), own) < 0.8:
+                    break
+                w, out = x, out + 1
+        rows.append((100 + i, " ".join(w)))
+        assert out and j_p(weights(rows[-1][1]), own) >= 0.8 > j_p(weights(rows[-1][1]), weights(rows[0][1]))
+    got = {r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
 def offspring(n, first, second):
     """A text, then n pairs: x has a run of ``first`` words of its own, y is x with a run of ``second`` words of its own elsewhere."""
     base = prose(32, 200).split()

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import release, remove, scratch, small_batches, stored
 from .graph import components
@@ -21,8 +21,12 @@ from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, un
 
 #: Registers are BANDS x ROWS: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Rounds of leaders at most, and cross pairs a member up to which no more rounds are made; both bound the work, not the result.
-ROUNDS, PAIRS_A_MEMBER = 2, 4
+#: Rounds of leaders at most, and pairs a member whose sizes are compared before another round is made; both bound the work, not the result.
+ROUNDS, PAIRS_A_MEMBER = 4, 64
+#: Shingles that more texts hold are not joined on; pairs whose common shingles are all such are bounded by how many they hold.
+HOLDERS = 128
+#: Cells a doubling, for the sizes by which pairs are bounded before they are joined.
+CELLS = 32
 #: Texts whose digests (16 bytes each) may be broadcast; beyond, texts are merge-joined.
 BROADCAST_KEYS = 200_000
 
@@ -127,43 +131,107 @@ def verified_rows(k: int):
 
 
 def shingle_rows(k: int):
-    """(node, z) to (node, shingle, share): share is of the node's weight."""
+    """(node, z) to (node, shingle, weight, total): total is the node's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(unpacked(batches), "text"):
             words = Words(data, offsets, ~SPACE)
             doc, h, n = counted(*shingles(words, k))
             weight = 1 + np.log(n)
-            share = weight / np.bincount(doc, weight, words.n_docs)[doc]
-            yield pa.record_batch({"node": part.column(0).take(pa.array(doc)), "shingle": pa.array(h.view(np.int64)), "share": pa.array(share)})
+            total = np.bincount(doc, weight, words.n_docs)[doc]
+            yield pa.record_batch({"node": part.column(0).take(pa.array(doc)), "shingle": pa.array(h.view(np.int64)), "weight": pa.array(weight), "total": pa.array(total)})
 
     return run
 
 
+def near_enough(s: Column, r: Column, threshold: float) -> Column:
+    """Whether texts that have shares s and r of their weights in common may be that similar: J_P is 1 / (1/s + 1/r - 1) at most."""
+    low = threshold - 1e-9
+    return (s >= low) & (r >= low) & (1 / F.greatest(s, F.lit(low)) + 1 / F.greatest(r, F.lit(low)) - 1 <= 1 / low)
+
+
 def divided(rest: DataFrame) -> DataFrame:
     """The rows of ``rest`` (bucket, root, ...) whose bucket holds members of several classes."""
     several = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     return rest.join(several, "bucket")
 
 
-def ruled_in(rest: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The rows of ``rest`` (bucket, node, root, ...) that may still have a link to another class inside their bucket.
+class Apart:
+    """Pairs of different classes that may still be linked, among the members (bucket, node, root, degree) of ``rest``.
+
+    Only shingles that nodes of other classes in ``rest`` hold too count; a node's support is the
+    share of its weight in them. In the order (holders, shingle) a pair that is linked has a first
+    common shingle, and neither node has more than 1 - threshold of its weight before it.
 
-    A node's support is the share of its weight in shingles that nodes of other classes in ``rest``
-    hold too; nodes of supports s and r have a similarity of 1 / (1/s + 1/r - 1) at most.
+    - That shingle has at most HOLDERS holders: the pair is found by a join on it, which makes at
+      most HOLDERS rows for each row (``by_shingle``).
+    - It has more: so has all that the two have in common. Of two nodes with n and m such shingles,
+      the one with more lacks n - m of them in common, each of weight 1 or more, which bounds both
+      shares (``by_size``). Nodes that are a leader's text with words replaced fail this bound unless the leader binds them.
+
+    Nothing is lost: the bounds are exact.
     """
-    path = scratch(texts.sparkSession, "near-shingles")
-    nodes = stored(rest.select("node", "root").distinct(), f"{path}/nodes")
-    own = texts.join(nodes, "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, share double")
-    own = stored(own.join(nodes, "node"), f"{path}/shares")
-    both = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    support = own.join(both, "shingle", "left_semi").groupBy("node").agg((F.sum("share") + 1e-9).alias("support"))
-    rest = rest.join(support.where(F.col("support") >= threshold - 1e-9), "node")
-    best = rest.groupBy("bucket").agg(F.max("support").alias("best"))
-    rest = rest.join(best, "bucket").where(1 / F.col("support") + 1 / F.col("best") - 1 <= 1 / (threshold - 1e-9)).drop("best")
-    out = stored(divided(rest), f"{path}/rest")
-    remove(texts.sparkSession, f"{path}/nodes", f"{path}/shares")
-    return out
+
+    def __init__(self, rest: DataFrame, texts: DataFrame, k: int, threshold: float):
+        self.threshold, self.path = threshold, scratch(texts.sparkSession, "near-shingles")
+        nodes = stored(rest.select("node", "root").distinct(), f"{self.path}/nodes")
+        own = texts.join(nodes, "node", "left_semi").mapInArrow(shingle_rows(k), "node long, shingle long, weight double, total double")
+        own = stored(own.join(nodes, "node"), f"{self.path}/own")
+        both = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("holders")).where("lo < hi")
+        self.cross = stored(own.join(both.select("shingle", "holders"), "shingle"), f"{self.path}/cross")
+        often = F.col("holders") > HOLDERS
+        facts = self.cross.groupBy("node", "total").agg(
+            (F.sum("weight") / F.col("total") + 1e-9).alias("support"),
+            (F.sum(F.when(often, F.col("weight")).otherwise(0.0)) + 1e-9).alias("often"),
+            F.count(F.when(often, 1)).alias("n_often"),
+        )
+        low = threshold - 1e-9
+        rest = rest.join(facts.where(F.col("support") >= low), "node")
+        best = rest.groupBy("bucket").agg(F.max("support").alias("best"))
+        rest = rest.join(best, "bucket").where(near_enough(F.col("support"), F.col("best"), threshold)).drop("best")
+        # a bucket's largest class has cells of its own, so that its many pairs with itself don't count
+        mains = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        sizes = [F.floor(F.log2(F.col(c) + 1) * CELLS).cast("int") for c in ("total", "n_often")]
+        rest = rest.join(mains, "bucket").withColumn("cell", F.struct(*sizes, F.col("root") == F.col("main"))).drop("main", "classes")
+        self.members = stored(rest, f"{self.path}/members")
+        cells = self.members.where(F.col("often") >= low * F.col("total"))
+        limits = [F.min("total").alias("total"), F.max("often").alias("often"), F.min("n_often").alias("n_least"), F.max("n_often").alias("n_most")]
+        cells = cells.groupBy("bucket", "cell").agg(*limits, F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+        x, y = (cells.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in cells.columns[1:]]) for side in "xy")
+        classes = (F.col("x_lo") < F.col("x_hi")) | (F.col("y_lo") < F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
+        pairs = x.join(y, "bucket").where((F.col("x_cell") <= F.col("y_cell")) & classes & self.sized("x_", "y_", "n_least", "n_most"))
+        self.cells = stored(pairs.select("bucket", "x_cell", "y_cell", (F.col("x_n") * F.col("y_n")).alias("n")), f"{self.path}/cells")
+
+    def sized(self, x: str, y: str, least: str, most: str) -> Column:
+        def share(a: str, b: str) -> Column:
+            return (F.col(f"{a}often") - F.greatest(F.lit(0), F.col(f"{a}{least}") - F.col(f"{b}{most}"))) / F.col(f"{a}total")
+
+        return near_enough(share(x, y), share(y, x), self.threshold)
+
+    def work(self) -> tuple[int, int]:
+        """Members, and the pairs that ``by_size`` compares at most."""
+        return self.members.count(), self.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def by_shingle(self) -> DataFrame:
+        nodes = self.members.select("node", "support").distinct()
+        before = W.partitionBy("node").orderBy("holders", "shingle").rowsBetween(W.unboundedPreceding, -1)
+        gone = 1 - F.col("support") + F.coalesce(F.sum(F.col("weight") / F.col("total")).over(before), F.lit(0.0))
+        rows = self.cross.where(F.col("holders") <= HOLDERS).join(nodes, "node").withColumn("left", 1 - gone + 1e-9).where(F.col("left") >= self.threshold)
+        rows = stored(rows.select("shingle", "node", "root", "left"), f"{self.path}/first")
+        other = rows.select("shingle", F.col("node").alias("y"), F.col("root").alias("other"), F.col("left").alias("right"))
+        pairs = rows.join(other, "shingle").where((F.col("root") < F.col("other")) & near_enough(F.col("left"), F.col("right"), self.threshold))
+        return pairs.select(F.col("node").alias("x"), "y")
+
+    def by_size(self) -> DataFrame:
+        open_cells = self.cells.select("bucket", F.explode(F.array("x_cell", "y_cell")).alias("cell")).distinct()
+        rows = self.members.join(open_cells, ["bucket", "cell"], "left_semi")
+        rows = stored(rows.select("bucket", "node", "root", "total", "often", "n_often"), f"{self.path}/often")
+        x, y = (rows.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns[1:]]) for side in "xy")
+        pairs = x.join(y, "bucket").where((F.col("x_root") < F.col("y_root")) & self.sized("x_", "y_", "n_often", "n_often"))
+        return pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+
+    def clear(self) -> None:
+        remove(self.members.sparkSession, self.path)
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,10 +239,10 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
 
     The links' components are those of all pairs that share a bucket. In a round each bucket's leader
     (at first the member that meets the most others in all its buckets, so the middle of a group of
-    copies, later four) is verified against the members of other classes. Classes are then the
-    components of all links found, and only pairs of different classes matter; members that the
-    shares of their shingles which other classes hold rule out are left. At last every
-    pair of different classes inside a bucket is verified, be its members bound to others or not.
+    copies, later one of each of up to four classes) is verified against the members of other classes.
+    Classes are then the components of all links found, and only pairs of different classes matter,
+    be their members bound to others or not: ``Apart`` finds those that may still be linked, and
+    they are verified. Before that, more rounds are made while it would compare too many.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -198,9 +266,10 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
         found = ask.select("a", "b", "za", "zb").mapInArrow(verified_rows(k), "a long, b long, similarity double")
         return stored(found.where(F.col("similarity") >= threshold), f"{path}/links/round={i}")
 
+    apart = None
     for i in range(1, ROUNDS + 1):
-        orders = [F.struct("degree", "node", "root"), F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("root"))]
-        tops = [F.max(orders[0])] if i == 1 else [f(x) for x in orders for f in (F.max, F.min)]
+        drawn = [F.struct(F.xxhash64("root", F.lit(2 * i + j)).alias("h"), "degree", "node", "root") for j in (0, 1)]
+        tops = [F.max(F.struct("degree", "node", "root"))] if i == 1 else [f(x) for x in drawn for f in (F.max, F.min)]
         leaders = members.groupBy("bucket").agg(F.array_distinct(F.array(*[F.struct(t["node"].alias("node"), t["root"].alias("root")) for t in tops])).alias("leaders"))
         leaders = stored(leaders, f"{path}/leaders-{i}")
         pairs = members.join(leaders, "bucket").select("node", "root", F.explode("leaders").alias("leader")).where("root <> leader.root")
@@ -208,18 +277,20 @@ def near_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
         edges = known.parquet(f"{path}/links").select("a", "b")
         roots = stored(components(edges), f"{path}/roots-{i}").select("node", F.col("root").alias("class"))
         rest = members.drop("root").join(roots, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("root"), "degree")
-        members = ruled_in(stored(divided(rest), f"{path}/members-{i}"), texts, k, threshold)
-        remove(spark, f"{path}/members-{i - 1}", f"{path}/leaders-{i}", f"{path}/roots-{i}")
+        rest = stored(divided(rest), f"{path}/members-{i}")
+        if apart:
+            apart.clear()
+        apart = Apart(rest, texts, k, threshold)
+        members = apart.members.select("bucket", "node", "root", "degree")
+        remove(spark, f"{path}/members-{i - 1}", f"{path}/members-{i}", f"{path}/leaders-{i}", f"{path}/roots-{i}")
         release(spark)
-        cells = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        n, cross = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-        if not bound or cross <= PAIRS_A_MEMBER * n:
+        n, pairs_left = apart.work()
+        if not bound or pairs_left <= PAIRS_A_MEMBER * n:
             break
     if n:
-        other = members.select("bucket", F.col("node").alias("y"), F.col("root").alias("other"), F.col("support").alias("r"))
-        limit = 1 / F.col("support") + 1 / F.col("r") - 1 <= 1 / (threshold - 1e-9)
-        verify(members.join(other, "bucket").where((F.col("root") < F.col("other")) & limit).select(F.col("node").alias("x"), "y"), i + 1)
-    remove(spark, *[f"{path}/{x}" for x in ("sketches", "several", "need", "texts", f"members-{i}")])
+        verify(apart.by_shingle().unionByName(apart.by_size()), i + 1)
+    apart.clear()
+    remove(spark, *[f"{path}/{x}" for x in ("sketches", "several", "need", "texts")])
     return known.parquet(f"{path}/links").select("a", "b", "similarity").distinct()
 
 
