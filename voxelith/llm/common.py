@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -21,11 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if context.applicationId not in _own:
             _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="voxelith-")
         root = _own[context.applicationId]
@@ -59,6 +62,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names that differ from all in ``taken``, whatever their case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while f"__{name}" in known:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def unit(h: Column) -> Column:
     """A 64-bit hash as a double in (0, 1)."""
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * F.lit(2.0**-53)
@@ -79,8 +92,9 @@ def ranked(df: DataFrame, group: list[str], part: str, order: list[Column], name
     sums = df.groupBy(*group, part).agg(F.sum(amount).alias("__sum"))
     before = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     # one struct as the key of the window and the join, so the rows are shuffled once; its fields may be null
-    key = F.struct(*group, part).alias("__key")
-    sums = sums.select(key, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    within = W.partitionBy("__key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    own = df.withColumn("__key", F.struct(*group, part)).withColumn("__own", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return own.join(sums, "__key").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__key", "__own", "__before")
+    key, own, earlier = fresh(df.columns, "key", "own", "before")
+    both = F.struct(*group, part).alias(key)
+    sums = sums.select(both, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(earlier))
+    within = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn(key, F.struct(*group, part)).withColumn(own, F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return rows.join(sums, key).withColumn(name, (F.col(own) + F.col(earlier)).cast("long")).drop(key, own, earlier)
