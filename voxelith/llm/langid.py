@@ -23,9 +23,8 @@ from .textnum import ALNUM, LOWER, pieces
 DIMENSIONS = 4096
 #: Texts a language in the sample, about, and all texts of the sample at most, about.
 SAMPLE_A_LANGUAGE, SAMPLE = 200, 4000
-#: A text is rejected if its cosine is under this share of the least one in the sample for texts of its size.
-#: One of fewer trigrams than LEAST_TRIGRAMS says too little to be called far.
-REJECT_SHARE, LEAST_TRIGRAMS = 0.33, 32
+#: A text is rejected if its cosine is under this share of the median in the sample for texts of its size, whatever that is.
+REJECT_SHARE = 0.5
 #: By byte: what a trigram sees. Digits, too, are no part of a language.
 SEEN = np.where(ALNUM & ~np.isin(np.arange(256), np.arange(0x30, 0x3A)), LOWER, 0x20).astype(np.uint32)
 
@@ -128,8 +127,8 @@ def modelled(sample: list[tuple[str, bytes]], clusters: int) -> Model | None:
     best = (x[known] @ centroids.T).max(axis=1)
     floors, sizes = np.zeros(16), size_class(counts[known])
     for s in range(16):
-        near = best[np.abs(sizes - s) <= 1]
-        floors[s] = REJECT_SHARE * near.min() if len(near) else 0
+        apart = np.abs(sizes - s)
+        floors[s] = REJECT_SHARE * np.median(best[apart <= max(1, apart.min())])
     return Model([str(x) for x in languages], idf, centroids, np.array(owner), floors)
 
 
@@ -145,7 +144,7 @@ def judged(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[
     near = vectors(counts, model.idf) @ model.centroids.T
     score = np.where(letters, np.clip(near.max(axis=1), 0, 1), 0).astype(np.float64)
     lang = np.where(letters, np.array(model.languages, object)[model.owner[near.argmax(axis=1)]], "und")
-    far = (counts.sum(axis=1) >= LEAST_TRIGRAMS) & (score < model.floors[size_class(counts)])
+    far = score < model.floors[size_class(counts)]
     return lang, score, ~letters | far
 
 
