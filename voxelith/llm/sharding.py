@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cell, ranked, unit
+from .common import cell, fresh, ranked, unit
 
 #: Rows of a shard that one task ranks, on average.
 ROWS_A_RANGE = 5_000
@@ -29,12 +29,14 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
 
     size: UTF-8 bytes of the text (null: none) plus 8. shard: by the key and the weights alone (a
     null key is a key of its own; equal keys share a shard). slot: 0, 1, ... without a gap in each
-    shard, in an order of the key's hash. grown_shard: the shard under ``grown`` (one weight more
+    shard, in an order of a hash of key and text, so rows of one key are ranked by several tasks;
+    rows equal in both are interchangeable unless ``carry`` tells them apart. grown_shard: the shard under ``grown`` (one weight more
     by default). An empty table gives an empty result; other columns are not read.
     """
     grown = [*weights, weights[-1]] if grown is None else grown
     name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
     ranges = max(1, docs.count() // len(weights) // ROWS_A_RANGE + 1)
+    h, part = fresh(carry, "h", "part")
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
@@ -42,8 +44,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         F.lit("key").alias("law"),
         shard_of(name, weights).alias("shard"),
         shard_of(name, grown).alias("grown_shard"),
-        F.xxhash64(name, F.lit("slot")).alias("__h"),
+        F.xxhash64(name, F.coalesce(F.col(text), F.lit("")), F.lit("slot")).alias(h),
         *carry,
-    ).withColumn("__part", cell(F.col("__h"), ranges))
-    order = [F.col(c).asc_nulls_first() for c in ("__h", "doc_id", "text_crc32", "size")]
-    return ranked(rows, ["shard"], "__part", order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
+    ).withColumn(part, cell(F.col(h), ranges))
+    order = [F.col(c).asc_nulls_first() for c in (h, "doc_id", "text_crc32", "size")]
+    return ranked(rows, ["shard"], part, order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
