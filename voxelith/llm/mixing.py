@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD, cell, ranked, scratch, stored
+from .common import WORD, cell, fresh, ranked, scratch, stored
 
 #: 1 / golden ratio: the points frac(n * GOLDEN) fill [0, 1) evenly at every length.
 GOLDEN = 0.6180339887498949
@@ -95,9 +95,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     Only the document at which the reading of a source ends is taken in part.
     """
     plan = mix_sources(docs, weights, share, cap, key, text, source).where("taken > 0")
+    i, h, n, own, copy = fresh(docs.columns, "i", "h", "copies", "hash", "copy")
     copies = F.round(F.sum("taken") / F.sum("size")).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(copies.alias("__copies")).where("__copies > 0")
+    plan = plan.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(copies.alias(n)).where(F.col(n) > 0)
     plan = stored(plan, scratch(docs.sparkSession, "mix-copies"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(plan, F.col(key).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(plan, F.col(key).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

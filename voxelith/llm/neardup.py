@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import release, remove, scratch, small_batches, stored
+from .common import fresh, release, remove, scratch, small_batches, stored
 from .graph import components
 from .textnum import SPACE, U, Words, counted, mix, packed, pieces, shingles, unit, unpacked
 
@@ -327,13 +327,17 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each class of ``near_classes``, all columns as they are."""
+    """One row of ``docs`` for each class of ``near_classes``, all columns as they are.
+
+    Of rows that share key and text, but no other column, the one of the least hash of all columns stays.
+    """
     classes = stored(near_classes(docs, threshold, key=key, text=text).select("doc_id", "node", "keep"), scratch(docs.sparkSession, "near-keep"))
-    gone = classes.where("NOT keep").select(F.col("doc_id").alias("__i"), F.col("node").alias("__n")).distinct()
+    i, n, node = fresh(docs.columns, "i", "n", "node")
+    gone = classes.where("NOT keep").select(F.col("doc_id").alias(i), F.col("node").alias(n)).distinct()
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(gone, F.col(key).eqNullSafe(F.col("__i")) & (F.col("__node") == F.col("__n")), "left_anti")
+    rows = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(gone, F.col(key).eqNullSafe(F.col(i)) & (F.col(node) == F.col(n)), "left_anti")
     if classes.where("keep").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([key, "__node"])
-    return rows.drop("__node")
+        rows = rows.groupBy(key, node).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(n)).select(f"{n}.*")
+    return rows.select(*docs.columns)
