@@ -17,12 +17,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 from .textnum import ALNUM, LOWER, U, Words, mix, pieces, runs
 
-#: Items that are searched in one pass over the documents; more items take more passes.
-ITEMS_A_PASS = 20_000
+#: Items, and bytes of their texts, that are searched in one pass over the documents, about; more take more passes.
+ITEMS_A_PASS, BYTES_A_PASS = 20_000, 20_000_000
 FILTER_BITS = 20
 
 
@@ -125,11 +126,12 @@ def search(index: Index, key_type: pa.DataType, item_type: pa.DataType):
 
 
 def indexes(items: DataFrame, threshold: float, k: int) -> Iterator[Index]:
-    """An index for each block of (item_id, text)."""
+    """An index for each block of (item_id, text); items of equal text are dealt out by their id."""
     items = items.where("text IS NOT NULL")
-    blocks = -(-items.count() // ITEMS_A_PASS)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-n // ITEMS_A_PASS), -(-size // BYTES_A_PASS)) if n else 0
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64("text", F.col("item_id").cast("string")), F.lit(blocks)) == block) if blocks > 1 else items
         yield build([tuple(r) for r in own.collect()], k, threshold)
 
 
@@ -138,8 +140,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5,
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. A shingle is
     k words, for an item of fewer words all of them. Null texts and items without words never
-    match. Items go out in blocks of about ITEMS_A_PASS, a pass over the documents each, so
-    an index stays small at any number of items. Equal rows match equally, one result row each; an
+    match. Items go out in blocks of about ITEMS_A_PASS or BYTES_A_PASS, a pass over the documents each, so
+    an index stays small at any number of items. Keys may have any type that Arrow has. Equal rows match equally, one result row each; an
     empty table on either side gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -148,10 +150,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5,
     items = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"))
     key_type, item_type = (d.schema[0].dataType.simpleString() for d in (rows, items))
     schema = f"doc_id {key_type}, item_id {item_type}, n_shingles long, n_common long, containment double"
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    arrow = [to_arrow_type(d.schema[0].dataType) for d in (rows, items)]
     out = None
     for index in indexes(items, threshold, k):
-        found = rows.mapInArrow(search(index, arrow[key_type], arrow[item_type]), schema)
+        found = rows.mapInArrow(search(index, *arrow), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
