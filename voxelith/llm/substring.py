@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import release, remove, scratch, small_batches, stored
 from .textnum import SPACE, U, Words, mix, packed, pieces, runs, signed, unpacked
@@ -181,9 +182,17 @@ def kept_rows(window: int):
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """k, occ, text: k orders the documents (a null key comes last); occ tells rows of one key apart and is 0 where keys are unique."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.col(text).alias("text"))
-    return rows.select("k", (F.xxhash64("text") if repeated_keys(rows) else F.lit(0).cast("long")).alias("occ"), "text")
+    """k, occ, text: k orders the documents; a null key comes last, as LAST, with an occ of 0 or more.
+
+    occ tells rows of one key apart; where keys are unique it is -1, or 0 for a null key.
+    """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be an integer column, which says which document comes earlier")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.col(key).isNull().alias("none"), F.col(text).alias("text"))
+    several = repeated_keys(rows)
+    h = F.xxhash64("text") if several else F.lit(-1)
+    occ = F.when(F.col("none"), h.bitwiseAND(F.lit(LAST)) if several else F.lit(0)).otherwise(h.bitwiseOR(F.lit(-LAST - 1)))
+    return rows.select("k", occ.cast("long").alias("occ"), "text")
 
 
 def repeated_keys(rows: DataFrame) -> bool:
@@ -278,7 +287,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, batches: in
 
     The documents go into a fresh index in ``batches`` ranges of the key, as a corpus that grows
     would. Words are runs without white space; a word goes if a window over it also starts earlier
-    (smaller key, or same document and earlier start), judged on the input. Null text: no words. Rows that share a key come in
+    (smaller key, or same document and earlier start), judged on the input. Keys are integers (TypeError otherwise). Null text: no words. Rows that share a key come in
     the order of a hash of their text; equal rows count as one document and each gets its result. A null key comes after all
     others. An empty table gives an empty result; other columns are not read.
     """
@@ -303,4 +312,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, batches: in
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     cut = texts.join(spans, (F.col("k") == F.col("sk")) & (F.col("occ") == F.col("so")), "left").select("k", "occ", F.coalesce("spans", none).alias("spans"), "z")
     out = cut.mapInArrow(kept_rows(window), "k long, occ long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(F.when(F.col("k") != LAST, F.col("k")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return out.select(F.when((F.col("k") != LAST) | (F.col("occ") < 0), F.col("k")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
