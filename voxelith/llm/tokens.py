@@ -75,8 +75,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     ``tokenizer``: a file of the tokenizers library (.json) or of sentencepiece (.model), read on
     the driver. Counts are without begin, end or added special tokens; special strings in a text are
     handled as the library does by default. ``cache``: a folder that all executors share; a new one
-    by default. Equal texts are encoded and stored once (rows that are equal in key and text are encoded
-    each, and stored once); empty texts have the
+    by default. Equal texts are encoded and stored once; empty texts have the
     library's count (0); an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -108,6 +107,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         z = rows.select("digest", "doc_id", "text").mapInArrow(packed, f"digest binary, doc_id {rows.schema[0].dataType.simpleString()}, z binary")
         todo = z.join(misses, same(z, misses), "left_semi").select("digest", "z")
         todo = todo.mapInArrow(unpacked, "digest binary, z binary, text string").select("digest", "text")
+    if keys.groupBy("digest", "doc_id").count().where("count > 1").limit(1).count():
+        todo = todo.dropDuplicates(["digest"])
     fresh = todo.mapInArrow(encoded(tokenizer, spark.sparkContext.broadcast(content)), "digest binary, n_tokens long")
     fresh.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     remove(spark, path)
