@@ -39,24 +39,23 @@ def problem(name: Column, args: Column, schemas: Mapping[str, Mapping[str, str]]
     """Null for arguments that fit their tool's schema, else what is wrong.
 
     A schema maps argument names to ``string``, ``integer``, ``number`` or ``boolean``, with ``?``
-    at the end if the argument may be missing. Other arguments are wrong.
+    at the end if the argument may be missing. Types are those of JSON: "2" is no integer, 5 and
+    {"x":1} are no strings, 2.0 is no integer; null counts as missing. Other arguments are wrong, and so is JSON
+    that names one twice (not an object).
     """
+    parsed = F.try_parse_json(args)
     out = F.lit("unknown tool")
     for tool, schema in schemas.items():
         said = F.lit(None).cast("string")
         for field in sorted(schema, reverse=True):
             kind, may_miss = schema[field].rstrip("?"), schema[field].endswith("?")
             value = F.get_json_object(args, f"$.{field}")
-            raw = F.element_at(F.from_json(args, "map<string,string>"), field)
-            fits = {
-                "string": F.lit(True),
-                "integer": F.regexp_like(raw, F.lit(r"^-?(0|[1-9][0-9]*)$")),
-                "number": F.regexp_like(raw, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")),
-                "boolean": raw.isin("true", "false"),
-            }[kind]
+            typed = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+            whole = F.regexp_like(typed, F.lit("^(BIGINT|DECIMAL)")) & F.regexp_like(value, F.lit("^-?[0-9]+$"))
+            fits = {"string": typed == "STRING", "integer": whole, "number": F.regexp_like(typed, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), "boolean": typed == "BOOLEAN"}[kind]
             said = F.when(value.isNull(), said if may_miss else F.lit(f"missing: {field}")).when(~F.coalesce(fits, F.lit(False)), F.lit(f"not {kind}: {field}")).otherwise(said)
         extra = F.array_except(F.json_object_keys(args), F.array(*[F.lit(x) for x in sorted(schema)]).cast("array<string>"))
-        said = F.when(F.json_object_keys(args).isNull(), F.lit("not an object")).when(F.size(extra) > 0, F.concat(F.lit("unknown: "), F.array_min(extra))).otherwise(said)
+        said = F.when(parsed.isNull() | F.json_object_keys(args).isNull(), F.lit("not an object")).when(F.size(extra) > 0, F.concat(F.lit("unknown: "), F.array_min(extra))).otherwise(said)
         out = F.when(name == tool, said).otherwise(out)
     return out
 
