@@ -71,6 +71,16 @@ def test_index_compacts(spark, docs, tmp_path):
     assert len(index.runs) == 2 and entries.count() == entries.select("fp", "ctx").distinct().count()
 
 
+def test_substring_keys(spark):
+    """The largest key is no null, and null keys come after it; keys that don't say an order are refused."""
+    p = prose(51, 30)
+    rows = [(2**63 - 1, p), (None, p), (None, prose(52, 30)), (2**63 - 1, prose(53, 30))]
+    got = sorted((r.doc_id is None, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, 0), (False, 0), (True, 0), (True, 30)]
+    with pytest.raises(TypeError):
+        substring.remove_repeats(spark.createDataFrame([("a", p)], "doc_id string, text string"))
+
+
 def test_substring_edges(spark, edge, empty):
     got = substring.remove_repeats(edge).collect()
     assert len(got) == edge.count() and substring.remove_repeats(empty).count() == 0
@@ -253,6 +263,9 @@ def test_near_edges(spark, edge, empty):
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id IN (6, 7)").count() == 0
     assert kept.where("doc_id = 3").count() == 2
     assert neardup.dedup(empty).count() == 0
+    twice = edge.where("doc_id = 5").limit(1).withColumn("__node", F.lit(3)).unionByName(edge.where("doc_id = 5").limit(1).withColumn("__node", F.lit(4)))
+    one = [neardup.dedup(x).collect() for x in (twice, twice.repartition(2, "__node"))]
+    assert one[0] == one[1] and len(one[0]) == 1 and one[0][0]["__node"] in (3, 4)
 
 
 def test_components(spark):
@@ -303,6 +316,8 @@ def test_leak_edges(spark, edge, empty):
     assert decontam.leaks(edge, items.limit(0)).count() == decontam.leaks(empty, items).count() == 0
     assert decontam.without_leaks(edge, items.limit(0)).count() == edge.count() and decontam.without_leaks(empty, items).count() == 0
     assert decontam.without_leaks(edge, items).columns == edge.columns
+    wide = edge.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(wide, items.withColumn("item_id", F.col("item_id").cast("double"))).collect()} == got
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

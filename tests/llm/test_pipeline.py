@@ -23,7 +23,7 @@ def test_stages(spark, sf, docs):
         own = lambda d: [tuple(r) for r in d.select("doc_id", "text").orderBy("doc_id").collect()]
         if name == "language_id":
             gone = {r.doc_id for r in langid.identify(before).where("rejected").collect()}
-            assert {i for i, _ in own(rows)} == {i for i, _ in own(before)} - gone and len(gone) <= 4
+            assert {i for i, _ in own(rows)} == {i for i, _ in own(before)} - gone and 0 < len(gone) < 0.06 * before.count()
         elif name == "near_dedup":
             x = own(before)
             assert own(rows) == [x[i] for i in sorted(set(classes(x)))]
