@@ -30,9 +30,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
-    own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    return sharding.assign_shards(docs, [1.0] * SHARDS, carry=[c for c in docs.columns if c not in own])
+    """The documents with their shard and slot; a column of theirs that has a name of these comes as ``input_`` and its name."""
+    own = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c.lower() in own})
+    return sharding.assign_shards(docs, [1.0] * SHARDS, carry=[c for c in docs.columns if c != "doc_id"])
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
