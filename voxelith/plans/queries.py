@@ -92,11 +92,11 @@ def zero_norm_report(spark, sf_dir):
 
 @query("""WITH t AS (SELECT vec_id, [CAST(x AS DOUBLE) * 3 FOR x IN embedding] AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) + 1e-8 AS n FROM t)
-SELECT vec_id, round(e[1] / n, 6) + 0.0 AS e0, round(e[2] / n, 6) + 0.0 AS e1, round(e[64] / n, 6) + 0.0 AS e63 FROM n""")
+SELECT vec_id, CAST(i AS INT) AS i, round(x / n, 6) + 0.0 AS e FROM (SELECT vec_id, n, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM n)""")
 def l2_normalize(spark, sf_dir):
     e = vectors.normalized(F.transform("embedding", lambda x: x.cast("double") * 3))
     out = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
-    return rounded(out.select("vec_id", *[F.get("e", F.lit(i)).alias(f"e{i}") for i in (0, 1, 63)]), 6, "e0", "e1", "e63")
+    return rounded(out.select("vec_id", F.posexplode("e").alias("i", "e")), 6, "e")
 
 
 # -- names -----------------------------------------------------------------------------------
@@ -327,12 +327,14 @@ def mask_pair_join(spark, sf_dir):
 
 
 @query(f"""WITH {V_PIXELS}, p AS (SELECT frame, mask_id, v, u, l_orderkey FROM v_pixels WHERE v % 10 = 0 AND u % 10 = 0), e AS (SELECT vec_id, CAST(vec_id % 16 AS INT) AS frame, CAST(vec_id // 16 % 7 + 1 AS INT) AS mask_id, embedding FROM embeddings)
-SELECT p.frame AS frame, p.mask_id AS mask_id, v, u, l_orderkey, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS e0, round(CAST(embedding[64] AS DOUBLE), 6) AS e63 FROM p JOIN e ON p.frame = e.frame AND p.mask_id = e.mask_id""")
+SELECT frame, mask_id, v, u, l_orderkey, vec_id, CAST(i AS INT) AS i, round(CAST(x AS DOUBLE), 6) AS e
+FROM (SELECT p.frame AS frame, p.mask_id AS mask_id, v, u, l_orderkey, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM p JOIN e ON p.frame = e.frame AND p.mask_id = e.mask_id)""")
 def embed_broadcast(spark, sf_dir):
     p = frames.on_grid(views.pixels(spark, sf_dir), 10).select("frame", "mask_id", "v", "u", "l_orderkey")
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(vec_id % 16 AS INT) AS frame", "CAST(vec_id DIV 16 % 7 + 1 AS INT) AS mask_id", "embedding")
     out = frames.spread_vectors(p, e)
-    return rounded(out.select("frame", "mask_id", "v", "u", "l_orderkey", "vec_id", F.get("embedding", F.lit(0)).alias("e0"), F.get("embedding", F.lit(63)).alias("e63")), 6, "e0", "e63")
+    out = out.select("frame", "mask_id", "v", "u", "l_orderkey", "vec_id", F.posexplode("embedding").alias("i", "e"))
+    return rounded(out.withColumn("e", F.col("e").cast("double")), 6, "e")
 
 
 # -- voxels ----------------------------------------------------------------------------------
@@ -428,11 +430,11 @@ def gaussian_weight(spark, sf_dir):
 t AS (SELECT qid, sum(w) AS t FROM w GROUP BY qid), x AS (SELECT qid, w, unnest(e) AS e, generate_subscripts(e, 1) - 1 AS i FROM w),
 m AS (SELECT x.qid AS qid, i, sum(w * CAST(e AS DOUBLE)) / (max(t) + 1e-8) AS m FROM x JOIN t ON x.qid = t.qid GROUP BY x.qid, i),
 n AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY qid)) AS n FROM m)
-SELECT qid AS point_id, CAST(i AS INT) AS i, round(m / (n + 1e-8), 5) + 0.0 AS e FROM n WHERE i < 8""")
+SELECT qid AS point_id, CAST(i AS INT) AS i, round(m / (n + 1e-8), 5) + 0.0 AS e FROM n""")
 def interpolate(spark, sf_dir):
     dense, sparse = halves(spark, sf_dir)
     out = knn.interpolated(dense, sparse, 21, 0.05, DIM)
-    return rounded(out.select("point_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "e")), 5, "e")
+    return rounded(out.select("point_id", F.posexplode("embedding").alias("i", "e")), 5, "e")
 
 
 @query(f"""WITH {V_POINTS}, near AS (SELECT d.point_id AS point_id, {DIST} AS dist FROM v_points d, v_points s QUALIFY row_number() OVER (PARTITION BY d.point_id ORDER BY {DIST}, s.point_id) <= 100),
