@@ -69,6 +69,30 @@ def test_build_and_search(spark, root, tmp_path):
         query_vector(embedder, text="  ")
 
 
+def test_build_takes_one_scene_and_segments_once(spark, root, tmp_path):
+    import os
+    import shutil
+
+    shutil.copytree(f"{root}/room", f"{root}/hall")
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    class Counting(GridSegmenter):
+        def masks(self, image):
+            (seen / os.urandom(8).hex()).touch()
+            return super().masks(image)
+
+    cfg = SceneConfig(frame_stride=1, point_stride=1, grid_stride=1, dense_downsample=2, object_downsample=1, min_points=5, outlier_k=5, interpolation_k=3, sigma=0.5, outlier_ratio=3.0)
+    out = str(tmp_path / "out")
+    scene.build_scene(spark, root, out, "hall", Counting(), HashEmbedder(16), cfg)
+    assert len(list(seen.iterdir())) == 2
+    points = spark.read.parquet(f"{out}/scenes/hall/object_points")
+    assert [r.scene for r in points.select("scene").distinct().collect()] == ["hall"]
+    assert spark.read.parquet(f"{out}/scenes/hall/dense").count() == 64
+    with pytest.raises(ValueError, match="2 scenes"):
+        scene.build_scene(spark, root, out, "attic", GridSegmenter(), HashEmbedder(16), cfg)
+
+
 def stream(path, n=3, frames_size=(4, 6)):
     eye = [float(x) for x in np.eye(4).ravel()]
     header = sens.Header("cam", eye, eye, eye, eye, "png", "zlib_ushort", 6, 4, 6, 4, 1000.0, n)
@@ -121,7 +145,7 @@ def test_ingest_writes_frame_folders(spark, tmp_path):
     assert scene.ingest(spark, [path], str(tmp_path / "frames"), 2, 8, 12) == 2
     rows = folders.images(spark, str(tmp_path / "frames"))
     assert sorted((r.scene, r.frame) for r in rows.collect()) == [("d", "000000"), ("d", "000001")]
-    assert folders.intrinsics(spark, str(tmp_path / "frames")).first()["fx"] == 1.0
+    assert json.loads((tmp_path / "frames" / "d" / "intrinsics.json").read_text()) == {"fx": 2.0, "fy": 2.0, "cx": 0.0, "cy": 0.0, "width": 12, "height": 8}
 
 
 def test_pictures_are_rgb(spark, tmp_path):

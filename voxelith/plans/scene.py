@@ -23,7 +23,7 @@ XYZ, RGB = ("x", "y", "z"), ("r", "g", "b")
 
 
 def posed_frames(spark: SparkSession, root: str, stride: int = 1) -> DataFrame:
-    """Frames that have colour, depth and a valid pose, every ``stride``-th of a scene's frames, with intrinsics."""
+    """Frames that have colour, depth and a valid pose, every ``stride``-th of a scene's frames, with intrinsics; ``root`` holds scenes or is one."""
     all_frames = folders.images(spark, root)
     kept = frames.every_kth_frame(all_frames.select("scene", "frame"), stride).select("scene", "frame")
     out = all_frames.join(kept, ["scene", "frame"]).join(folders.poses(spark, root), ["scene", "frame"])
@@ -40,11 +40,12 @@ def world_points(pixels: DataFrame, cfg: SceneConfig, high_included: bool) -> Da
     return rows.where(geometry.finite(F.col("x")) & geometry.finite(F.col("y")) & geometry.finite(F.col("z")))
 
 
-def segment(spark: SparkSession, root: str, cfg: SceneConfig, segmenter: Segmenter, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+def segment(spark: SparkSession, root: str, cfg: SceneConfig, segmenter: Segmenter, embedder: Embedder, path: str) -> tuple[DataFrame, DataFrame]:
     """masks (scene, frame, mask_id, embedding) and their object points (scene, frame, mask_id, v, u, x, y, z, r, g, b).
 
-    One pass over the frames: masks, crops and vectors of a frame are made together, and pixels come
-    out as rows, so no image is shuffled.
+    One pass over the frames: masks, crops and vectors of a frame are made together, and their pixels
+    are written as rows under ``path``; masks and points are both read from there, so they belong
+    together whatever the models do, and the models run once a frame.
     """
     ship(spark)
     source = posed_frames(spark, root, cfg.frame_stride)
@@ -75,7 +76,7 @@ def segment(spark: SparkSession, root: str, cfg: SceneConfig, segmenter: Segment
                     yield out[["scene", "frame", "mask_id", "v", "u", "depth_mm", "r", "g", "b", "fx", "fy", "cx", "cy", "pose", "embedding"]]
 
     schema = "scene string, frame string, mask_id int, v int, u int, depth_mm int, r double, g double, b double, fx double, fy double, cx double, cy double, pose array<double>, embedding array<float>"
-    pixels = source.mapInPandas(run, schema)
+    pixels = _stage(spark, "pixels", path, source.mapInPandas(run, schema))
     masks = pixels.where("embedding IS NOT NULL").select("scene", "frame", "mask_id", "embedding")
     points = world_points(pixels.drop("embedding"), cfg, high_included=True)
     points = frames.with_min_points(points, ["scene", "frame", "mask_id"], cfg.min_points)
@@ -125,16 +126,28 @@ def _stage(spark: SparkSession, name: str, path: str, df: DataFrame) -> DataFram
     return spark.read.parquet(f"{path}/{name}")
 
 
+def scene_folder(spark: SparkSession, root: str, scene: str) -> str:
+    """The folder of ``scene`` below ``root``, or ``root`` itself if it holds just one scene; of frame names only a few come back."""
+    places = folders.files(spark, root, folders.COLOR_FILE).select("scene").distinct().limit(10_000).collect()
+    names = {r.scene for r in places}
+    if scene in names:
+        return root if names == {scene} else f"{root.rstrip('/')}/{scene}"
+    if len(names) > 1:
+        raise ValueError(f"{root} holds {len(names)} scenes and none is {scene!r}")
+    return root
+
+
 def build_scene(spark: SparkSession, root: str, out: str, scene: str, segmenter: Segmenter, embedder: Embedder, cfg: SceneConfig = SceneConfig(), force: bool = False) -> DataFrame:
     """All stages, each a Parquet table under ``out`` (not below ``root``), then the collection and the registry entry.
 
-    Raises at the first stage that fails or has no rows; a scene that is registered is only built again with ``force``.
+    Where ``root`` holds the folder of ``scene``, that one is built; else ``root`` must hold one scene alone. Raises at the first stage that fails or has no rows; a scene that is registered is only built again with ``force``.
     """
     registry = Registry(spark, f"{out}/registry")
     if not force and not registry.read().where(F.col("scene") == scene).isEmpty():
         raise ValueError(f"scene {scene!r} exists; force builds it again")
     path = f"{out}/scenes/{scene}"
-    masks, points = segment(spark, root, cfg, segmenter, embedder)
+    root = scene_folder(spark, root, scene)
+    masks, points = segment(spark, root, cfg, segmenter, embedder, path)
     masks = _stage(spark, "masks", path, masks)
     if masks.isEmpty():
         raise ValueError("no frame gave a mask")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Intrinsics
-from ..functions.geometry import first_valid_pose
+from ..functions.geometry import adjusted_intrinsics, first_valid_pose
 from ..functions.images import png_array, png_bytes, resized_bilinear, resized_nearest
 from ..session import ship
 
@@ -173,10 +173,12 @@ def write_frames(rows: DataFrame, root: str) -> None:
 
 
 def write_intrinsics(streams: DataFrame, root: str, height: int, width: int) -> None:
-    """Writes each scene's intrinsics.json from the depth camera of its sensor stream; one small row a scene."""
-    for r in streams.groupBy("scene").agg(F.first("intrinsic_depth").alias("m")).collect():
+    """Writes each scene's intrinsics.json: the depth camera of its sensor stream, adjusted to the resized frames; one small row a scene."""
+    camera = streams.groupBy("scene").agg(F.first("intrinsic_depth").alias("m"), F.first("depth_width").alias("w"), F.first("depth_height").alias("h"))
+    new = adjusted_intrinsics(*[F.get("m", F.lit(i)).cast("double") for i in (0, 5, 2, 6)], (F.col("w"), F.col("h")), (F.lit(width), F.lit(height)))
+    for r in camera.select("scene", *[x.alias(n) for n, x in zip(("fx", "fy", "cx", "cy"), new, strict=True)]).collect():
         os.makedirs(os.path.join(root, r["scene"]), exist_ok=True)
-        body = {"fx": r["m"][0], "fy": r["m"][5], "cx": r["m"][2], "cy": r["m"][6], "width": width, "height": height}
+        body = {"fx": r["fx"], "fy": r["fy"], "cx": r["cx"], "cy": r["cy"], "width": width, "height": height}
         with open(os.path.join(root, r["scene"], "intrinsics.json"), "w") as f:
             json.dump(body, f)
 
