@@ -173,7 +173,7 @@ def test_language_rejects_what_is_no_language(spark, docs):
         "天地玄黃宇宙洪荒日月盈昃辰宿列張" * 20,
         " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 9)) for _ in range(60)),
         "Wbpst " * 120,
-        "zqxj",
+        "天地玄黃",
     ]
     extra = spark.createDataFrame([(100_000 + i, t, None, None, None) for i, t in enumerate(junk)], docs.schema)
     gone = {r.doc_id for r in langid.identify(docs.unionByName(extra)).where("rejected").collect()}
@@ -194,8 +194,9 @@ def brute_language(model, text):
     norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
     near = [sum(v / norm * float(c[g]) for g, v in x.items()) for c in model.centroids]
     best = max(near)
-    size = min(15, int(math.log2(max(1, sum(counts.values())))))
-    return model.languages[model.owner[near.index(best)]], max(0.0, min(1.0, best)), best < model.floors[size]
+    n = sum(counts.values())
+    size = min(15, int(math.log2(max(1, n))))
+    return model.languages[model.owner[near.index(best)]], max(0.0, min(1.0, best)), best < model.floors[size] * n / (n + 24)
 
 
 def test_language_matches_brute_force(docs):

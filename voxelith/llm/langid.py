@@ -23,8 +23,9 @@ from .textnum import ALNUM, LOWER, pieces
 DIMENSIONS = 4096
 #: Texts a language in the sample, about, and all texts of the sample at most, about.
 SAMPLE_A_LANGUAGE, SAMPLE = 200, 4000
-#: A text is rejected if its cosine is under this share of the median in the sample for texts of its size, whatever that is.
-REJECT_SHARE = 0.5
+#: A text of n trigrams is rejected if its cosine is under REJECT_SHARE * n / (n + EVIDENCE) of the median in the sample
+#: for texts of its size: the shorter the text, the less a low cosine says.
+REJECT_SHARE, EVIDENCE = 0.5, 24
 #: By byte: what a trigram sees. Digits, too, are no part of a language.
 SEEN = np.where(ALNUM & ~np.isin(np.arange(256), np.arange(0x30, 0x3A)), LOWER, 0x20).astype(np.uint32)
 
@@ -144,7 +145,8 @@ def judged(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[
     near = vectors(counts, model.idf) @ model.centroids.T
     score = np.where(letters, np.clip(near.max(axis=1), 0, 1), 0).astype(np.float64)
     lang = np.where(letters, np.array(model.languages, object)[model.owner[near.argmax(axis=1)]], "und")
-    far = score < model.floors[size_class(counts)]
+    n = counts.sum(axis=1)
+    far = score < model.floors[size_class(counts)] * n / (n + EVIDENCE)
     return lang, score, ~letters | far
 
 
