@@ -17,14 +17,49 @@ def brute(q, b, k):
     return [(i, int(j), round(float(d[i, j]), 9)) for i in range(len(q)) for j in np.lexsort([np.arange(len(b)), d[i]])[:k]]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_knn_is_exact(spark, limit):
-    q, queries = cloud(spark, 60, 1)
-    b, base = cloud(spark, 90, 2)
-    got = knn.knn(queries.withColumnRenamed("point_id", "qid"), base.withColumnRenamed("point_id", "nid"), 7, broadcast_points=limit)
+@pytest.mark.parametrize("limit, few, queries, points", [(0, 0, 60, 90), (0, 0, 90, 60), (0, 10, 60, 90), (0, 100, 60, 90), (10_000, 0, 60, 90)])
+def test_knn_is_exact(spark, limit, few, queries, points):
+    q, queries = cloud(spark, queries, 1)
+    b, base = cloud(spark, points, 2)
+    got = knn.knn(queries.withColumnRenamed("point_id", "qid"), base.withColumnRenamed("point_id", "nid"), 7, broadcast_points=limit, few_queries=few)
     assert sorted((r.qid, r.nid, round(r.dist, 9)) for r in got.collect()) == sorted(brute(q, b, 7))
 
 
+@pytest.mark.parametrize("few", [0, 5])
+def test_knn_of_uneven_points(spark, few):
+    rng = np.random.default_rng(9)
+    b = np.concatenate([rng.normal(0, 0.01, (200, 3)), rng.uniform(-50, 50, (30, 3)), np.zeros((40, 3))])
+    q = np.concatenate([b[::9], [[500.0, 0, 0], [0, 0, 0]]])
+    base = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(b)], "nid long, x double, y double, z double")
+    queries = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(q)], "qid long, x double, y double, z double")
+    got = knn.knn(queries, base, 5, broadcast_points=0, few_queries=few)
+    assert sorted((r.qid, r.nid, round(r.dist, 9)) for r in got.collect()) == sorted(brute(q, b, 5))
+
+
+def test_knn_of_one_place(spark):
+    rows = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(9)], "nid long, x double, y double, z double")
+    got = knn.knn(rows.withColumnRenamed("nid", "qid"), rows, 2, broadcast_points=0, few_queries=0)
+    assert sorted((r.qid, r.nid) for r in got.collect()) == [(q, n) for q in range(9) for n in (0, 1)]
+
+
+@pytest.mark.parametrize("k", [1, 50, 199, 200, 500])
+def test_many_hits_by_a_band(spark, k):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(200)] + [(200, None), (201, [0.5, 0.0, 0.0])]
+    df = search.indexable(spark.createDataFrame(rows, "point_id long, embedding array<double>"))
+    want = search.top_k(df, [1.0, 0.5, 0.0], k, length="norm").collect()
+    got = search.top_k(df, [1.0, 0.5, 0.0], k, length="norm", task_rows=0).collect()
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("per", [1, 7, 1000])
+def test_numbers_along_a_column(spark, per):
+    p, df = cloud(spark, 60, 6)
+    got = frames.numbered_along(df.drop("ford"), ["x", "y"], "place", per).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(60)) and [r.point_id for r in got] == np.argsort(p[:, 0]).tolist()
+    assert frames.numbered_along(df.limit(0), ["x"], "place", per).count() == 0
+
+
 @pytest.mark.parametrize("limit", [0, 100])
 def test_knn_ties_and_few_points(spark, limit):
     q = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (2, None, 0.0, 0.0)], "qid long, x double, y double, z double")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.names import point_document
 from ..functions.vectors import dot, norm
 
+#: Hits that one task may rank; beyond, only a band around the k-th similarity is ordered: this share of all rows on either side.
+TASK_ROWS, BAND = 100_000, 0.002
+
 
 def indexable(vectors: DataFrame, zero_norm: float = 1e-3, key: str = "point_id", vector: str = "embedding", dim: int | None = None) -> DataFrame:
     """Rows whose vector is longer than ``zero_norm``, with ``norm``; ids stay."""
@@ -23,15 +26,33 @@ def norm_report(vectors: DataFrame, zero_norm: float = 1e-3, vector: str = "embe
 
 
 def similarity(vector: Column, query: Sequence[float], length: Column | None = None) -> Column:
-    """Cosine similarity to a constant vector; ``length`` is the vector's norm if it is stored."""
+    """Cosine similarity to a constant vector, null for a vector of norm 0; ``length`` is the vector's norm if it is stored."""
     size = float(sum(float(x) * float(x) for x in query)) ** 0.5
-    return dot(vector, query) / ((norm(vector, len(query)) if length is None else length) * F.lit(size))
+    return F.try_divide(dot(vector, query), (norm(vector, len(query)) if length is None else length) * F.lit(size))
+
 
+def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "point_id", vector: str = "embedding", length: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(key, sim) of the k most similar vectors, ties by key: each task keeps k rows, no full sort.
 
-def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "point_id", vector: str = "embedding", length: str | None = None) -> DataFrame:
-    """(key, sim) of the k most similar vectors, ties by key: each task keeps k rows, no full sort."""
+    Beyond ``task_rows`` the k rows are not ranked in one task: rows surely above the k-th similarity
+    are a filter, and only those in a narrow band around it (and those equal there) are ordered. The
+    result is then unordered.
+    """
     sim = similarity(F.col(vector), query, F.col(length) if length else None)
-    return vectors.select(key, sim.alias("sim")).orderBy(F.desc(F.round("sim", 10)), key).limit(k)
+    scored = vectors.select(key, sim.alias("sim"))
+    rank = F.round("sim", 10)
+    if k > task_rows:
+        n = scored.count()
+        if k >= n:
+            return scored
+        at = [max(0.0, 1 - k / n - BAND), min(1.0, 1 - k / n + BAND)]
+        low, high = scored.agg(F.percentile_approx(rank, at, int(4 / BAND)).alias("p")).first()["p"] or (None, None)
+        if low is not None:
+            above, upto = scored.agg(F.count_if(rank > high), F.count_if(rank >= low)).first()
+            if above <= k <= upto:
+                band = scored.where((rank >= low) & (rank <= high)).orderBy(F.desc(rank), key).limit(k - above)
+                return scored.where(rank > high).unionByName(band)
+    return scored.orderBy(F.desc(rank), key).limit(k)
 
 
 def calibrated(hits: DataFrame, mid: float = 0.75, step: float = 0.1) -> DataFrame:

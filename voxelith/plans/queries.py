@@ -421,6 +421,13 @@ def knn_within(spark, sf_dir):
     return rounded(knn.knn(dense.withColumnRenamed("point_id", "qid"), sparse.withColumnRenamed("point_id", "nid"), 21, within=0.2, broadcast_points=0), 6, "dist")
 
 
+@query(f"WITH {V_POINTS}, {NEAR} SELECT qid, nid, round(dist, 6) AS dist FROM near")
+def knn_join_grid(spark, sf_dir):
+    """``knn_join`` by rounds of the grid join, as for a base too large to broadcast."""
+    dense, sparse = halves(spark, sf_dir)
+    return rounded(knn.knn(dense.withColumnRenamed("point_id", "qid"), sparse.withColumnRenamed("point_id", "nid"), 21, broadcast_points=0), 6, "dist")
+
+
 @query("SELECT p_partkey, round(exp(-(p_retailprice / 1000.0) * (p_retailprice / 1000.0) / (2 * 0.7 * 0.7)), 8) AS w FROM part")
 def gaussian_weight(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").select("p_partkey", geometry.gaussian_weight(F.col("p_retailprice") / 1000.0, 0.7).alias("w")), 8, "w")

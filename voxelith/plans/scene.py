@@ -15,7 +15,7 @@ from ..functions import geometry, images
 from ..models import Embedder, Segmenter, query_vector
 from ..operators import coloring, frames, knn, search, voxels
 from ..operators.registry import Registry
-from ..session import ship
+from ..session import kept, ship
 from ..sources import folders
 
 log = logging.getLogger(__name__)
@@ -96,9 +96,7 @@ def sparse_cloud(masks: DataFrame, points: DataFrame, cfg: SceneConfig, dim: int
         per_frame = rows.join(F.broadcast(order), ["scene", "frame"])
         own = voxels.voxel_average(per_frame, cfg.merge_radius, vector="embedding", dim=dim, by=[F.col("ford")]).withColumnRenamed("__k0", "ford")
         merged = voxels.merge_pairwise(own, cfg.merge_radius, vector="embedding", dim=dim)
-    merged = merged.select(*XYZ, *RGB, "embedding").withColumn("part", F.floor(F.col("x") / 10).cast("long"))
-    merged = frames.numbered(merged, ["part"], [*XYZ], "point_id").drop("part")
-    return merged
+    return frames.numbered_along(kept(merged.select(*XYZ, *RGB, "embedding")), [*XYZ], "point_id")
 
 
 def without_outliers(cloud: DataFrame, cfg: SceneConfig) -> DataFrame:

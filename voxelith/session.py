@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
+_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,3 +31,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Only where the session names none and runs on one machine a temporary folder is taken.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _roots.get(context.applicationId)
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="voxelith-")
+    return f"{root.rstrip('/')}/steps/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a shared folder and read again: computed once, and safe from lost executors.
+
+    The folder is deleted when the application ends, on any store.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
