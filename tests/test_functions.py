@@ -135,3 +135,25 @@ def test_resizing():
     assert (images.resized_bilinear(x, 4, 4) == x).all()
     assert images.encoder_input(np.zeros((300, 400, 3), np.uint8)).shape == (3, 224, 224)
     assert math.isclose(images.encoder_input(np.zeros((300, 400, 3), np.uint8))[0, 0, 0], -0.48145466 / 0.26862954)
+
+
+def test_smooth_resize_by_hand():
+    flat = np.full((6, 9, 3), 200, np.uint8)
+    assert (images.resized_smooth(flat, 4, 5) == 200).all()
+    # halving: a Gaussian of half a pixel, then the mean of two neighbours, cut to a whole number
+    x = np.array([[0, 0, 100, 100]], np.uint8)
+    near = np.exp(-2.0 * np.arange(3) ** 2)
+    w = near / (near[0] + 2 * near[1:].sum())
+    line = [0.0, 0.0, 100.0, 100.0]
+    mirrored = [line[abs(i) if i < 4 else 6 - i] for i in range(-2, 6)]
+    smooth = [sum(w[abs(j)] * mirrored[i + 2 + j] for j in (-2, -1, 0, 1, 2)) for i in range(4)]
+    want = [int((smooth[0] + smooth[1]) / 2), int((smooth[2] + smooth[3]) / 2)]
+    assert images.resized_smooth(x, 1, 2)[0].tolist() == want
+    # growing needs no smoothing; half a step beyond the edge is mirrored
+    assert images.resized_smooth(np.array([[0.0, 8.0]]), 1, 4)[0].tolist() == [2.0, 2.0, 6.0, 6.0]
+
+
+def test_mask_runs_round_trip():
+    rng = np.random.default_rng(2)
+    for mask in (rng.random((7, 5)) < 0.5, np.zeros((2, 3), bool), np.ones((2, 3), bool)):
+        assert (images.mask_of(images.mask_runs(mask), *mask.shape) == mask).all()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelith.config import Intrinsics, SceneConfig
-from voxelith.functions.images import png_bytes
+from voxelith.functions.images import mask_of, png_bytes
 from voxelith.models import GridSegmenter, HashEmbedder, query_vector
 from voxelith.plans import scene
 from voxelith.sources import clouds, folders, npz, sens
@@ -148,6 +148,90 @@ def test_ingest_writes_frame_folders(spark, tmp_path):
     assert json.loads((tmp_path / "frames" / "d" / "intrinsics.json").read_text()) == {"fx": 2.0, "fy": 2.0, "cx": 0.0, "cy": 0.0, "width": 12, "height": 8}
 
 
+def jpeg(spark, color):
+    """A JPEG of one colour, by the JVM."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(12, 8, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    red, green, blue = color
+    for y in range(8):
+        for x in range(12):
+            image.setRGB(x, y, red << 16 | green << 8 | blue)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def jpeg_stream(spark, path, colors, broken=False):
+    camera = [4.0, 0, 2.5, 0, 0, 4.0, 1.5, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    header = sens.Header("cam", camera, list(np.eye(4).ravel()), camera, list(np.eye(4).ravel()), "jpeg", "zlib_ushort", 12, 8, 6, 4, 1000.0, len(colors))
+    pose = [float(x) for x in np.eye(4).ravel()]
+    depth = zlib.compress(np.full((4, 6), 2000, "<u2").tobytes())
+    sens.write_sens(path, header, [{"pose": pose, "timestamp_color": i, "timestamp_depth": i, "color": b"no image" if broken else jpeg(spark, c), "depth": depth} for i, c in enumerate(colors)])
+
+
+def test_jpeg_streams_are_ingested_and_built(spark, tmp_path):
+    colors = [(200, 30, 60), (10, 220, 90), (128, 128, 128)]
+    jpeg_stream(spark, str(tmp_path / "my room.sens"), colors)
+    root, out = str(tmp_path / "frames"), str(tmp_path / "out")
+    assert scene.ingest(spark, [str(tmp_path / "my room.sens")], root, 2, 4, 6) == 2
+    for r in folders.images(spark, root).collect():
+        got = folders.readable(r.color)
+        assert r.scene.replace("%20", " ") == "my room" and got.shape == (4, 6, 3)
+        assert np.abs(got.astype(int) - colors[2 * int(r.frame)]).max() <= 4
+    jpeg_stream(spark, str(tmp_path / "broken.sens"), colors, broken=True)
+    with pytest.raises(Exception, match="unreadable colour image of frame 0 of 'broken'"):
+        scene.extract(spark, [str(tmp_path / "broken.sens")], 3).count()
+    jpeg_stream(spark, str(tmp_path / "hall.sens"), colors)
+    main = __import__("voxelith.__main__", fromlist=["main"]).main
+    small = ["frame_stride=1", "point_stride=1", "grid_stride=1", "dense_downsample=1", "min_points=2", "outlier_k=4", "interpolation_k=3", "sigma=0.5", "outlier_ratio=3.0", "merge_mode=weighted"]
+    main(["ingest", "--sens", str(tmp_path / "hall.sens"), "--root", root, "--height", "4", "--width", "6", "--build", "hall", "--out", out, "--set", *small])
+    assert spark.read.parquet(f"{out}/scenes/hall/dense").count() == 3 * 24
+    (tmp_path / "q.jpg").write_bytes(jpeg(spark, (200, 30, 60)))
+    main(["search", "--out", out, "--scene", "hall", "--image", str(tmp_path / "q.jpg"), "--k", "3"])
+    main(["stage", "interpolate", "--root", root, "--out", out, "--scene", "hall", "--set", *small])
+    with pytest.raises(ValueError, match="unknown parameter"):
+        main(["stage", "merge", "--root", root, "--out", out, "--scene", "hall", "--set", "nothing=1"])
+
+
+def test_small_masks_go_before_the_embedder(spark, root, tmp_path):
+    class Uneven(GridSegmenter):
+        def masks(self, image):
+            one = np.zeros(image.shape[:2], bool)
+            one[0, :3] = True
+            return [one, *super().masks(image)]
+
+    class Seen(HashEmbedder):
+        def images(self, crops):
+            assert len(crops) == 4
+            return super().images(crops)
+
+    cfg = SceneConfig(frame_stride=1, point_stride=1, min_points=5)
+    masks, points = scene.segment(spark, root, cfg, Uneven(), Seen(16), str(tmp_path / "out"))
+    rows = masks.orderBy("frame", "mask_id").collect()
+    assert [r.mask_id for r in rows] == [1, 2, 3, 4] * 2
+    want = GridSegmenter().masks(np.zeros((8, 8, 3)))
+    for r in rows:
+        assert (mask_of(r.runs, r.height, r.width) == want[r.mask_id - 1]).all()
+    assert points.count() == 2 * 64
+
+
+def test_ply_and_camera_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 1.0, 0.0, 0.5), (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "point_id long, x double, y double, z double, r double, g double, b double")
+    clouds.export_ply(rows, str(tmp_path / "a.ply"), np.array([[0, 1, 0]]))
+    head, body = (tmp_path / "a.ply").read_bytes().split(b"end_header\n")
+    assert b"element vertex 2" in head and b"element face 1" in head and len(body) == 2 * 15 + 13
+    assert np.frombuffer(body[15:27], "<f4").tolist() == [1, 2, 3] and list(body[27:30]) == [255, 0, 128]
+    assert body[30] == 3 and np.frombuffer(body[31:], "<i4").tolist() == [0, 1, 0]
+    stream(str(tmp_path / "e.sens"), 2)
+    clouds.export_intrinsics(spark, [str(tmp_path / "e.sens")], str(tmp_path / "x"))
+    assert sorted(p.name for p in (tmp_path / "x" / "e" / "intrinsic").iterdir()) == ["extrinsic_color.txt", "extrinsic_depth.txt", "intrinsic_color.txt", "intrinsic_depth.txt"]
+    assert (tmp_path / "x" / "e" / "intrinsic" / "intrinsic_depth.txt").read_text().splitlines()[1] == "0.000000 1.000000 0.000000 0.000000"
+    sens.register(spark)
+    clouds.export_frames(spark.read.format("sens").load(str(tmp_path / "e.sens")), str(tmp_path / "y"), image_size=(2, 3))
+    assert folders.readable((tmp_path / "y" / "e" / "depth" / "1.png").read_bytes()).shape == (2, 3)
+    assert folders.readable((tmp_path / "y" / "e" / "color" / "1.png").read_bytes()).shape == (2, 3, 3)
+
+
 def test_pictures_are_rgb(spark, tmp_path):
     x = np.random.default_rng(4).integers(0, 256, (3, 5, 3)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(png_bytes(x))
@@ -166,6 +250,9 @@ def test_npz(spark, tmp_path):
     assert [r.cluster_label for r in got] == [0, 1, 2, 3, 4] and got[2].x == float(p[2, 0]) and got[0].embedding == [1.0] * 4
     npz.export_npz(df, str(tmp_path / "b.npz"))
     assert np.array_equal(np.load(tmp_path / "b.npz")["points"], p)
+    np.savez_compressed(tmp_path / "d.npz", points=np.asfortranarray(p), embeddings=np.ones((5, 4)))
+    got = spark.read.format("npz").option("pointsPerTask", "2").load(str(tmp_path / "d.npz")).orderBy("point_id").collect()
+    assert [r.y for r in got] == [float(v) for v in p[:, 1]] and got[4].embedding == [1.0] * 4 and got[0].r is None
     np.savez(tmp_path / "c.npz", colors=p)
     with pytest.raises(Exception, match="no array 'points'"):
         spark.read.format("npz").load(str(tmp_path / "c.npz")).count()

@@ -52,6 +52,13 @@ def gaussian_weight(d: Column, sigma: float) -> Column:
     return F.exp(-(d * d) / F.lit(2 * sigma * sigma))
 
 
+def intrinsic_matrix(fx: Column, fy: Column, mx: Column, my: Column) -> Column:
+    """The 4 x 4 camera matrix of focal lengths and principal point, row-major."""
+    cells = [F.lit(float(i % 5 == 0)) for i in range(16)]
+    cells[0], cells[5], cells[2], cells[6] = (c.cast("double") for c in (fx, fy, mx, my))
+    return F.array(*cells)
+
+
 def adjusted_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, old: tuple[Column, Column], new: tuple[Column, Column]) -> tuple[Column, ...]:
     """Intrinsics for an image resized from ``old`` to ``new`` (width, height), cropped in width."""
     (w0, h0), (w1, h1) = old, new

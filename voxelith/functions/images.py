@@ -89,6 +89,48 @@ def resized_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.rint(out).astype(image.dtype) if np.issubdtype(image.dtype, np.integer) else out
 
 
+def smoothed(x: np.ndarray, sigma: float, axis: int) -> np.ndarray:
+    """A Gaussian along one axis, cut at four deviations; the image is mirrored at its edge pixels."""
+    if sigma <= 0:
+        return x
+    r = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    wide = np.pad(x, [(r, r) if i == axis else (0, 0) for i in range(x.ndim)], mode="reflect")
+    views = np.lib.stride_tricks.sliding_window_view(wide, len(kernel), axis=axis)
+    return views @ kernel
+
+
+def resized_smooth(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear after a Gaussian of (factor - 1) / 2 pixels on axes that shrink, mirrored at the edges; integers are cut, not rounded."""
+    x = image.astype(np.float64)
+    for axis, m in enumerate((height, width)):
+        n = x.shape[axis]
+        x = smoothed(x, max(0.0, (n / m - 1) / 2), axis)
+        at = np.abs((np.arange(m) + 0.5) * n / m - 0.5)
+        at = np.where(at > n - 1, 2 * (n - 1) - at, at).clip(0)
+        low = np.floor(at).astype(int)
+        share = (at - low).reshape([-1 if i == axis else 1 for i in range(x.ndim)])
+        x = np.take(x, low, axis) * (1 - share) + np.take(x, np.minimum(low + 1, n - 1), axis) * share
+    # a sum of weights may end a hair below a whole number
+    return np.floor(x + 1e-9).astype(image.dtype) if np.issubdtype(image.dtype, np.integer) else x
+
+
+def mask_runs(mask: np.ndarray) -> np.ndarray:
+    """A mask as start and length of each run of set pixels, counted row by row."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.asarray(mask) > 0).ravel().astype(np.int8), [0]])))
+    return np.column_stack([edges[::2], edges[1::2] - edges[::2]]).astype(np.int32).ravel()
+
+
+def mask_of(runs: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The mask of ``mask_runs``."""
+    flat = np.zeros(height * width + 1, np.int8)
+    runs = np.asarray(runs, np.int64).reshape(-1, 2)
+    flat[runs[:, 0]] += 1
+    flat[runs.sum(axis=1)] -= 1
+    return np.cumsum(flat[:-1]).astype(bool).reshape(height, width)
+
+
 def encoder_input(image: np.ndarray, size: int = 224) -> np.ndarray:
     """Shorter side to ``size``, centre crop, channels first, normalised."""
     h, w = image.shape[:2]

@@ -199,6 +199,13 @@ def intrinsics_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(found["fx"], F.lit(d.fx)).alias("fx"), F.coalesce(found["cy"], F.lit(d.cy)).alias("cy"))
 
 
+@query("SELECT n_nationkey, CAST(i AS INT) AS i, CASE WHEN i = 0 THEN 500.0 + n_nationkey WHEN i = 5 THEN 501.0 + n_nationkey WHEN i = 2 THEN 319.5 WHEN i = 6 THEN 239.5 WHEN i % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM nation, range(16) t(i)")
+def make_intrinsics(spark, sf_dir):
+    f = F.col("n_nationkey").cast("double")
+    m = geometry.intrinsic_matrix(f + 500.0, f + 501.0, F.lit(319.5), F.lit(239.5))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(m).alias("i", "value"))
+
+
 @query("""WITH t AS (SELECT n_nationkey, 640.0 + n_nationkey AS w0, 480.0 AS h0, 320.0 AS w1, 240.0 AS h1 FROM nation)
 SELECT n_nationkey, round(577.0 * (floor(h1 * w0 / h0) / w0), 6) AS fx, round(578.0 * (h1 / h0), 6) AS fy,
        round(319.5 * ((w1 - 1) / (w0 - 1)), 6) AS cx, round(239.5 * ((h1 - 1) / (h0 - 1)), 6) AS cy FROM t""")
@@ -570,6 +577,21 @@ def download_plan(spark, sf_dir):
     return manifest.scan_plan(scans, types, "https://data.example", "v2/scans", "v1/scans", use_old_sens=True, existing=have)
 
 
+@query("""WITH t AS (SELECT n_name AS scan_id, n_nationkey % 4 = 0 AS test FROM nation)
+SELECT scan_id, t AS file_type, 'https://data.example/' || CASE WHEN t = '.sens' AND NOT test THEN 'v1/scans' ELSE 'v2/scans' END || '/' || scan_id || '/' || scan_id || t AS url,
+       CASE WHEN test THEN 'scans_test/' ELSE 'scans/' END || scan_id || '/' || scan_id || t AS out_file
+FROM t, (SELECT unnest(['.aggregation.json', '.sens', '.txt']) AS t) WHERE NOT (test AND t = '.aggregation.json')""")
+def release_plan(spark, sf_dir):
+    scans = table(spark, sf_dir, "nation").select(F.col("n_name").alias("scan_id"), (F.col("n_nationkey") % 4 == 0).alias("test"))
+    types, test_types = (spark.createDataFrame([(t,) for t in kinds], "file_type string") for kinds in (TYPES, TYPES[1:]))
+    return manifest.release_plan(scans.where("NOT test").select("scan_id"), scans.where("test").select("scan_id"), types, test_types, "https://data.example", "v2/scans", "v1/scans")
+
+
+@query("SELECT t AS file_name, 'https://data.example/v2/tasks/' || t AS url, 'tasks/' || t AS out_file FROM (SELECT unnest(['labels.tsv', 'frames.zip', 'sets/limited.zip']) AS t)")
+def task_plan(spark, sf_dir):
+    return manifest.task_plan(spark, "https://data.example", "v2/tasks", ["labels.tsv", "frames.zip", "sets/limited.zip"])
+
+
 @query("SELECT f AS folder, s AS split, CAST(i AS INT) AS shard, printf('%s-%05d-of-%05d.tfrecords', s, i, n) AS file_name FROM (SELECT f, s, n, unnest(range(0, n)) AS i FROM (SELECT unnest(['hires_tfrecords', 'lores_tfrecords']) AS f), (VALUES ('train', 100), ('val', 25), ('test', 10)) t(s, n))")
 def shard_manifest(spark, sf_dir):
     return manifest.shard_plan(spark)

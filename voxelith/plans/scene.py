@@ -41,15 +41,18 @@ def world_points(pixels: DataFrame, cfg: SceneConfig, high_included: bool) -> Da
 
 
 def segment(spark: SparkSession, root: str, cfg: SceneConfig, segmenter: Segmenter, embedder: Embedder, path: str) -> tuple[DataFrame, DataFrame]:
-    """masks (scene, frame, mask_id, embedding) and their object points (scene, frame, mask_id, v, u, x, y, z, r, g, b).
+    """masks (scene, frame, mask_id, embedding, height, width, runs) and their object points (scene, frame, mask_id, v, u, x, y, z, r, g, b).
 
     One pass over the frames: masks, crops and vectors of a frame are made together, and their pixels
     are written as rows under ``path``; masks and points are both read from there, so they belong
-    together whatever the models do, and the models run once a frame.
+    together whatever the models do, and the models run once a frame. A mask with fewer than
+    ``min_points`` points in the depth range goes before the embedder sees it; ids keep its gap.
+    ``runs`` are the mask's pixels as ``images.mask_of`` reads them.
     """
     ship(spark)
     source = posed_frames(spark, root, cfg.frame_stride)
     keep = ["scene", "frame", "fx", "fy", "cx", "cy"]
+    columns = ["scene", "frame", "mask_id", "v", "u", "depth_mm", "r", "g", "b", "fx", "fy", "cx", "cy", "pose", "embedding", "height", "width", "runs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,27 +62,29 @@ def segment(spark: SparkSession, root: str, cfg: SceneConfig, segmenter: Segment
                     continue
                 color = color[:, :, :3]
                 depth = depth if depth.shape == color.shape[:2] else images.resized_nearest(depth, *color.shape[:2])
-                found = segmenter.masks(color)
-                crops = [images.masked_crop(m, color, cfg.crop_mode, cfg.crop_expand, cfg.dilate_size, cfg.dilate_rounds) for m in found]
-                vectors = embedder.images(crops)
-                for i, (mask, vector) in enumerate(zip(found, vectors, strict=True)):
-                    v, u = np.nonzero(mask)
-                    v, u = v[:: cfg.point_stride], u[:: cfg.point_stride]
+                kept_masks = []
+                for i, mask in enumerate(segmenter.masks(color)):
+                    v, u = (x[:: cfg.point_stride] for x in np.nonzero(mask))
+                    d = depth[v, u] / cfg.depth_scale
+                    if len(v) and ((d > cfg.min_depth) & (d <= cfg.max_depth)).sum() >= cfg.min_points:
+                        kept_masks.append((i, mask, v, u))
+                crops = [images.masked_crop(m, color, cfg.crop_mode, cfg.crop_expand, cfg.dilate_size, cfg.dilate_rounds) for _, m, _, _ in kept_masks]
+                vectors = embedder.images(crops) if crops else []
+                for (i, mask, v, u), vector in zip(kept_masks, vectors, strict=True):
                     rgb = color[v, u] / 255.0
-                    out = pd.DataFrame({"mask_id": i, "v": v, "u": u, "depth_mm": depth[v, u].astype(np.int32), "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+                    out = pd.DataFrame({"mask_id": i, "v": v, "u": u, "depth_mm": depth[v, u].astype(np.int32), "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "height": mask.shape[0], "width": mask.shape[1]})
                     for c in keep:
                         out[c] = getattr(r, c)
                     out["pose"] = [list(r.pose)] * len(out)
-                    out["embedding"] = [None] * len(out)
-                    if len(out):
-                        out.at[0, "embedding"] = vector.astype(np.float32).tolist()
-                    yield out[["scene", "frame", "mask_id", "v", "u", "depth_mm", "r", "g", "b", "fx", "fy", "cx", "cy", "pose", "embedding"]]
+                    # the mask's own values stand on its first row only
+                    out["embedding"] = [vector.astype(np.float32).tolist()] + [None] * (len(out) - 1)
+                    out["runs"] = [images.mask_runs(mask).tolist()] + [None] * (len(out) - 1)
+                    yield out[columns]
 
-    schema = "scene string, frame string, mask_id int, v int, u int, depth_mm int, r double, g double, b double, fx double, fy double, cx double, cy double, pose array<double>, embedding array<float>"
+    schema = "scene string, frame string, mask_id int, v int, u int, depth_mm int, r double, g double, b double, fx double, fy double, cx double, cy double, pose array<double>, embedding array<float>, height int, width int, runs array<int>"
     pixels = _stage(spark, "pixels", path, source.mapInPandas(run, schema))
-    masks = pixels.where("embedding IS NOT NULL").select("scene", "frame", "mask_id", "embedding")
-    points = world_points(pixels.drop("embedding"), cfg, high_included=True)
-    points = frames.with_min_points(points, ["scene", "frame", "mask_id"], cfg.min_points)
+    masks = pixels.where("embedding IS NOT NULL").select("scene", "frame", "mask_id", "embedding", "height", "width", "runs")
+    points = world_points(pixels.drop("embedding", "height", "width", "runs"), cfg, high_included=True)
     return masks, points.select("scene", "frame", "mask_id", "v", "u", *XYZ, *RGB)
 
 
@@ -87,7 +92,7 @@ def sparse_cloud(masks: DataFrame, points: DataFrame, cfg: SceneConfig, dim: int
     """(point_id, x, y, z, r, g, b, embedding): object points with their mask's vector, merged over frames, without outliers."""
     key = ["scene", "frame", "mask_id"]
     rows = frames.every_kth_row(points, cfg.object_downsample, key, ["v", "u"])
-    rows = frames.spread_vectors(rows, masks, key)
+    rows = frames.spread_vectors(rows, masks.select(*key, "embedding"), key)
     if cfg.merge_mode == "weighted":
         merged = voxels.merge_weighted(rows, cfg.merge_radius, vector="embedding", dim=dim).drop("vx", "vy", "vz", "n")
     else:
@@ -135,31 +140,53 @@ def scene_folder(spark: SparkSession, root: str, scene: str) -> str:
     return root
 
 
+def _some(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError(f"no frame gave a {what}")
+    return df
+
+
+#: Stages of a build, in order; each reads the tables of those before it.
+STAGES = ("segment", "merge", "outliers", "dense", "interpolate", "index")
+
+
+def run_stage(spark: SparkSession, stage: str, root: str, out: str, scene: str, segmenter: Segmenter, embedder: Embedder, cfg: SceneConfig = SceneConfig()) -> DataFrame:
+    """One stage of a build from the tables that the earlier ones left under ``out``; returns its table."""
+    path = f"{out}/scenes/{scene}"
+
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}")
+
+    if stage == "segment":
+        masks, points = segment(spark, scene_folder(spark, root, scene), cfg, segmenter, embedder, path)
+        _some(_stage(spark, "masks", path, masks), "mask")
+        return _stage(spark, "object_points", path, points)
+    if stage == "merge":
+        return _stage(spark, "merged", path, sparse_cloud(read("masks"), read("object_points"), cfg, embedder.dim))
+    if stage == "outliers":
+        return _stage(spark, "sparse", path, without_outliers(read("merged"), cfg))
+    if stage == "dense":
+        return _some(_stage(spark, "dense", path, dense_cloud(spark, scene_folder(spark, root, scene), cfg)), "point")
+    if stage == "interpolate":
+        return _stage(spark, "dense_embedded", path, embedded_cloud(read("dense"), read("sparse"), cfg, embedder.dim))
+    if stage == "index":
+        name = collection_name(spark, scene)
+        vectors = search.Collections(spark, f"{out}/vector_store").replace(name, read("dense_embedded").where("embedding IS NOT NULL"), cfg.zero_norm)
+        Registry(spark, f"{out}/registry").register([(scene, f"{path}/dense_embedded", f"{out}/vector_store", name)])
+        return vectors
+    raise ValueError(f"unknown stage {stage!r}, not one of {', '.join(STAGES)}")
+
+
 def build_scene(spark: SparkSession, root: str, out: str, scene: str, segmenter: Segmenter, embedder: Embedder, cfg: SceneConfig = SceneConfig(), force: bool = False) -> DataFrame:
     """All stages, each a Parquet table under ``out`` (not below ``root``), then the collection and the registry entry.
 
     Where ``root`` holds the folder of ``scene``, that one is built; else ``root`` must hold one scene alone. Raises at the first stage that fails or has no rows; a scene that is registered is only built again with ``force``.
     """
-    registry = Registry(spark, f"{out}/registry")
-    if not force and not registry.read().where(F.col("scene") == scene).isEmpty():
+    if not force and not Registry(spark, f"{out}/registry").read().where(F.col("scene") == scene).isEmpty():
         raise ValueError(f"scene {scene!r} exists; force builds it again")
-    path = f"{out}/scenes/{scene}"
-    root = scene_folder(spark, root, scene)
-    masks, points = segment(spark, root, cfg, segmenter, embedder, path)
-    masks = _stage(spark, "masks", path, masks)
-    if masks.isEmpty():
-        raise ValueError("no frame gave a mask")
-    points = _stage(spark, "object_points", path, points)
-    merged = _stage(spark, "merged", path, sparse_cloud(masks, points, cfg, embedder.dim))
-    sparse = _stage(spark, "sparse", path, without_outliers(merged, cfg))
-    dense = _stage(spark, "dense", path, dense_cloud(spark, root, cfg))
-    if dense.isEmpty():
-        raise ValueError("no frame gave a point")
-    full = _stage(spark, "dense_embedded", path, embedded_cloud(dense, sparse, cfg, embedder.dim))
-    name = collection_name(spark, scene)
-    vectors = search.Collections(spark, f"{out}/vector_store").replace(name, full.where("embedding IS NOT NULL"), cfg.zero_norm)
-    registry.register([(scene, f"{path}/dense_embedded", f"{out}/vector_store", name)])
-    return vectors
+    for stage in STAGES:
+        done = run_stage(spark, stage, root, out, scene, segmenter, embedder, cfg)
+    return done
 
 
 def collection_name(spark: SparkSession, scene: str) -> str:
@@ -202,9 +229,9 @@ def extract(spark: SparkSession, paths: list[str], frame_skip: int = 1, height:
 
 def ingest(spark: SparkSession, paths: list[str], root: str, frame_skip: int = 1, height: int = 480, width: int = 640) -> int:
     """Sensor streams to frame folders and intrinsics below ``root``; returns the number of frames written."""
-    rows = sensor_frames(spark, paths, frame_skip)
-    folders.write_frames(folders.resized_frames(rows, height, width), root)
-    folders.write_intrinsics(rows, root, height, width)
+    rows = kept(extract(spark, paths, frame_skip, height, width))
+    folders.write_frames(rows, root)
+    folders.write_intrinsics(spark, paths, root, height, width)
     return rows.count()
 
 
@@ -214,5 +241,6 @@ def video_manifest(frame_list: DataFrame, fps: int = 30) -> DataFrame:
 
     if frame_list.isEmpty():
         raise ValueError("no frame folders")
+    # the frames of one scene, thousands of names: one ordered window
     place = F.row_number().over(W.orderBy(natural_key(F.col("frame")), "frame")) - 1
     return frame_list.select("frame", place.alias("place")).withColumn("seconds", F.col("place") / F.lit(float(fps)))

@@ -57,3 +57,11 @@ def kept(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mounted(path: str) -> str:
+    """A folder as a path for Python's file functions; it must be on a store that driver and executors mount."""
+    plain = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    if "://" in plain:
+        raise ValueError(f"{path} is not on a mounted store")
+    return plain

@@ -63,21 +63,76 @@ def matrix_text(values: Sequence[float]) -> str:
     return "".join(" ".join(f"{v:f}" for v in values[4 * i : 4 * i + 4]) + "\n" for i in range(4))
 
 
-def export_frames(frames: DataFrame, folder: str, frame_skip: int = 1) -> None:
-    """Writes pose text, colour blobs and depth PNGs of sensor frames below ``folder``, a store that all executors see."""
-    from ..functions.images import png_bytes
+def ply_bytes(points: np.ndarray, colors: np.ndarray | None = None, normals: np.ndarray | None = None, faces: np.ndarray | None = None) -> bytes:
+    """A binary little-endian PLY of points and, where given, normals, colours (0 to 1) and triangles of a mesh."""
+    parts = [("<f4", "float", ("x", "y", "z"), points)]
+    if normals is not None:
+        parts.append(("<f4", "float", ("nx", "ny", "nz"), normals))
+    if colors is not None:
+        parts.append(("u1", "uchar", ("red", "green", "blue"), np.clip(np.rint(np.asarray(colors) * 255), 0, 255)))
+    rows = np.zeros(len(points), np.dtype([(name, kind) for kind, _, names, _ in parts for name in names]))
+    head = [f"element vertex {len(points)}"]
+    for _, word, names, values in parts:
+        for i, name in enumerate(names):
+            rows[name] = np.asarray(values)[:, i] if len(points) else 0
+            head.append(f"property {word} {name}")
+    body = rows.tobytes()
+    if faces is not None:
+        triangles = np.zeros(len(faces), np.dtype([("n", "u1"), ("at", "<i4", (3,))]))
+        triangles["n"], triangles["at"] = 3, np.asarray(faces).reshape(-1, 3)
+        head += [f"element face {len(faces)}", "property list uchar int vertex_indices"]
+        body += triangles.tobytes()
+    return "\n".join(["ply", "format binary_little_endian 1.0", *head, "end_header", ""]).encode() + body
+
+
+def export_ply(cloud: DataFrame, path: str, faces: np.ndarray | None = None) -> None:
+    """One scene's cloud (point_id, x, y, z, r, g, b and maybe nx, ny, nz) as a PLY file on the driver's disk; a scene must fit the driver.
+
+    ``faces`` are triangles of places in the order of point_id, from a surface solver outside Spark.
+    """
+    table = cloud.orderBy("point_id").toArrow()
+
+    def stack(names: Sequence[str]) -> np.ndarray | None:
+        return np.stack([table.column(c).to_numpy() for c in names], axis=1) if set(names) <= set(table.column_names) else None
+
+    with open(path, "wb") as f:
+        f.write(ply_bytes(stack("xyz"), stack("rgb"), stack(("nx", "ny", "nz")), faces))
+
+
+def export_frames(frames: DataFrame, folder: str, frame_skip: int = 1, image_size: tuple[int, int] | None = None) -> None:
+    """Writes pose text, colour blobs and depth PNGs of sensor frames below ``folder``, a store that all executors see.
+
+    ``image_size`` (height, width) resizes depth and PNG colour to the nearest pixel; JPEG colour keeps its
+    size, since blobs are not encoded again (``folders.resized_frames`` gives it resized, as PNG).
+    """
+    from ..functions.images import png_array, png_bytes, resized_nearest
+    from .folders import put
     from .sens import decoded_depth
 
     ship(frames.sparkSession)
 
     def write(rows: Iterator) -> None:
         for r in rows:
-            for kind, ext, body in (("pose", "txt", matrix_text(r["pose"]).encode()), ("color", "jpg", bytes(r["color"])), ("depth", "png", png_bytes(decoded_depth(bytes(r["depth"]), r["depth_codec"], r["depth_height"], r["depth_width"])))):
+            depth = decoded_depth(bytes(r["depth"]), r["depth_codec"], r["depth_height"], r["depth_width"])
+            color, ext = bytes(r["color"]), "png" if r["color_codec"] == "png" else "jpg"
+            if image_size is not None:
+                depth = resized_nearest(depth, *image_size)
+                color = png_bytes(resized_nearest(png_array(color), *image_size)) if ext == "png" else color
+            for kind, end, body in (("pose", "txt", matrix_text(r["pose"]).encode()), ("color", ext, color), ("depth", "png", png_bytes(depth))):
                 where = os.path.join(folder, r["scene"], kind)
                 os.makedirs(where, exist_ok=True)
-                part = os.path.join(where, f"{r['frame_idx']}.{ext}.tmp")
-                with open(part, "wb") as f:
-                    f.write(body)
-                os.replace(part, part.removesuffix(".tmp"))
+                put(where, f"{r['frame_idx']}.{end}", body)
 
     frames.where(F.col("frame_idx") % frame_skip == 0).foreachPartition(write)
+
+
+def export_intrinsics(spark: SparkSession, paths: Sequence[str], folder: str) -> None:
+    """Writes the two cameras' intrinsic and extrinsic matrices of each sensor stream as text below ``folder``/<scene>/intrinsic."""
+    from .folders import put
+    from .sens import MATRICES, cameras
+
+    for r in cameras(spark, list(paths)).collect():
+        where = os.path.join(folder, r["scene"], "intrinsic")
+        os.makedirs(where, exist_ok=True)
+        for name in MATRICES:
+            put(where, f"{name}.txt", matrix_text(r[name]).encode())

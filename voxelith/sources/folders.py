@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import shutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Intrinsics
 from ..functions.geometry import adjusted_intrinsics, first_valid_pose
-from ..functions.images import png_array, png_bytes, resized_bilinear, resized_nearest
-from ..session import ship
+from ..functions.images import png_array, png_bytes, resized_nearest, resized_smooth
+from ..session import kept, mounted, shared_folder, ship, small_batches
 
 #: Where a pose may stand, in order of preference (fixed values).
 POSE_FILES = ("pose.npy", "pose.txt", "extrinsic_matrix.npy")
@@ -77,6 +78,18 @@ def images(spark: SparkSession, root: str) -> DataFrame:
     return both.where("color IS NOT NULL AND depth IS NOT NULL")
 
 
+def rgb_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """The pixels of an image row; the JVM gives blue, green and red, or grey."""
+    x = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
+    return np.repeat(x, 3, axis=2) if channels == 1 else np.ascontiguousarray(x[:, :, 2::-1])
+
+
+def decoded(spark: SparkSession, root: str, pattern: str, drop_broken: bool = True) -> DataFrame:
+    """(path, height, width, channels, data) of images as the JVM's reader gives them."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("dropInvalid", str(drop_broken).lower()).load(root)
+    return rows.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+
 def pictures(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg}") -> DataFrame:
     """(path, height, width, rgb) of 8-bit images, JPEG too, decoded by the JVM; rgb is row by row.
 
@@ -87,17 +100,18 @@ def pictures(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg}")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["path", "height", "width"]].copy()
-            rgb = []
-            for h, w, c, body in zip(batch["height"], batch["width"], batch["channels"], batch["data"], strict=True):
-                x = np.frombuffer(bytes(body), np.uint8).reshape(h, w, c)
-                x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
-                rgb.append(np.ascontiguousarray(x).tobytes())
-            out["rgb"] = rgb
+            out["rgb"] = [rgb_of(*x).tobytes() for x in zip(batch["data"], batch["height"], batch["width"], batch["channels"], strict=True)]
             yield out
 
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("dropInvalid", "true").load(root)
-    rows = rows.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return rows.mapInPandas(run, "path string, height int, width int, rgb binary")
+    return decoded(spark, root, pattern).mapInPandas(run, "path string, height int, width int, rgb binary")
+
+
+def picture(spark: SparkSession, path: str) -> np.ndarray:
+    """One image file as an RGB array."""
+    row = pictures(spark, path, "*").first()
+    if row is None:
+        raise ValueError(f"no readable image: {path}")
+    return np.frombuffer(bytes(row["rgb"]), np.uint8).reshape(row["height"], row["width"], 3)
 
 
 def readable(body: bytes) -> np.ndarray | None:
@@ -129,37 +143,67 @@ def pixels(frames: DataFrame, stride: int = 1) -> DataFrame:
     return frames.select("scene", "frame", "color", "depth").mapInPandas(run, "scene string, frame string, v int, u int, depth_mm int, r double, g double, b double")
 
 
-def resized_frames(rows: DataFrame, height: int = 480, width: int = 640) -> DataFrame:
-    """Sensor frames with PNG colour, as (scene, export_idx, color, depth, pose): colour bilinear, depth nearest, both as PNG."""
+def resized_frames(rows: DataFrame, height: int = 480, width: int = 640, folder: str | None = None) -> DataFrame:
+    """Sensor frames as (scene, export_idx, color, depth, pose): colour bilinear and smoothed, depth nearest, both as PNG.
+
+    PNG colour is decoded in the worker. JPEG colour is decoded by the JVM, whose reader takes files: one
+    pass over the streams writes the blobs below ``folder``, a mounted store that all executors see (by
+    default the shared folder), while it stores the rest; the resized pictures then join it. A broken
+    or unknown colour image raises.
+    """
     from .sens import decoded_depth
 
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
+    blobs = f"{(folder or shared_folder(spark)).rstrip('/')}/colour"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             color, depth = [], []
             for r in batch.itertuples(index=False):
-                if r.color_codec != "png":
-                    raise ValueError(f"unsupported colour codec {r.color_codec!r} without an image library")
-                color.append(png_bytes(resized_bilinear(png_array(bytes(r.color)), height, width)))
+                if r.color_codec == "png":
+                    color.append(png_bytes(resized_smooth(png_array(bytes(r.color)), height, width)))
+                elif r.color_codec == "jpeg":
+                    color.append(None)
+                    os.makedirs(mounted(blobs), exist_ok=True)
+                    put(mounted(blobs), f"{r.scene.encode().hex()}-{r.export_idx}.jpg", bytes(r.color))
+                else:
+                    raise ValueError(f"unsupported colour codec {r.color_codec!r}")
                 depth.append(png_bytes(resized_nearest(decoded_depth(bytes(r.depth), r.depth_codec, r.depth_height, r.depth_width), height, width)))
             yield pd.DataFrame({"scene": batch["scene"], "export_idx": batch["export_idx"], "color": color, "depth": depth, "pose": batch["pose"]})
 
-    return rows.mapInPandas(run, "scene string, export_idx long, color binary, depth binary, pose array<double>")
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                scene, _, index = r.path.rpartition("/")[2].removesuffix(".jpg").rpartition("-")
+                scene = bytes.fromhex(scene).decode()
+                if r.height <= 0:
+                    raise ValueError(f"unreadable colour image of frame {index} of {scene!r}")
+                picture = resized_smooth(rgb_of(r.data, r.height, r.width, r.channels), height, width)
+                yield pd.DataFrame({"scene": [scene], "export_idx": [int(index)], "jpeg": [png_bytes(picture)]})
+
+    small_batches(spark, 64)
+    done = kept(rows.mapInPandas(run, "scene string, export_idx long, color binary, depth binary, pose array<double>"))
+    if done.where("color IS NULL").isEmpty():
+        return done
+    pictures_of = kept(decoded(spark, blobs, "*.jpg", False).mapInPandas(shrink, "scene string, export_idx long, jpeg binary"))
+    shutil.rmtree(mounted(blobs))
+    out = done.join(pictures_of, ["scene", "export_idx"], "left")
+    return out.select("scene", "export_idx", F.coalesce("color", "jpeg").alias("color"), "depth", "pose")
+
+
+def put(where: str, name: str, body: bytes) -> None:
+    """Writes a file beside its place and renames it, so a lost task leaves no half file."""
+    part = f"{where}/.{name}.{os.getpid()}.tmp"
+    with open(part, "wb") as f:
+        f.write(body)
+    os.replace(part, f"{where}/{name}")
 
 
 def write_frames(rows: DataFrame, root: str) -> None:
-    """Writes (scene, export_idx, color, depth, pose) as frame folders below ``root``, a store that all executors see.
-
-    Each file is written beside its place and renamed, so a lost task leaves no half file.
-    """
+    """Writes (scene, export_idx, color, depth, pose) as frame folders below ``root``, a store that all executors see."""
     ship(rows.sparkSession)
 
-    def put(where: str, name: str, body: bytes) -> None:
-        with open(f"{where}/.{name}.tmp", "wb") as f:
-            f.write(body)
-        os.replace(f"{where}/.{name}.tmp", f"{where}/{name}")
-
     def write(part: Iterator) -> None:
         for r in part:
             where = os.path.join(root, r["scene"], f"{r['export_idx']:06d}")
@@ -172,10 +216,12 @@ def write_frames(rows: DataFrame, root: str) -> None:
     rows.select("scene", "export_idx", "color", "depth", "pose").foreachPartition(write)
 
 
-def write_intrinsics(streams: DataFrame, root: str, height: int, width: int) -> None:
-    """Writes each scene's intrinsics.json: the depth camera of its sensor stream, adjusted to the resized frames; one small row a scene."""
-    camera = streams.groupBy("scene").agg(F.first("intrinsic_depth").alias("m"), F.first("depth_width").alias("w"), F.first("depth_height").alias("h"))
-    new = adjusted_intrinsics(*[F.get("m", F.lit(i)).cast("double") for i in (0, 5, 2, 6)], (F.col("w"), F.col("h")), (F.lit(width), F.lit(height)))
+def write_intrinsics(spark: SparkSession, paths: list[str], root: str, height: int, width: int) -> None:
+    """Writes each scene's intrinsics.json: the depth camera in its stream's header, adjusted to the resized frames."""
+    from .sens import cameras
+
+    camera = cameras(spark, paths)
+    new = adjusted_intrinsics(*[F.get("intrinsic_depth", F.lit(i)) for i in (0, 5, 2, 6)], (F.col("depth_width"), F.col("depth_height")), (F.lit(width), F.lit(height)))
     for r in camera.select("scene", *[x.alias(n) for n, x in zip(("fx", "fy", "cx", "cy"), new, strict=True)]).collect():
         os.makedirs(os.path.join(root, r["scene"]), exist_ok=True)
         body = {"fx": r["fx"], "fy": r["fy"], "cx": r["cx"], "cy": r["cy"], "width": width, "height": height}

@@ -20,6 +20,23 @@ def names_of(path: str) -> list[str]:
         return [n.removesuffix(".npy") for n in z.namelist()]
 
 
+def shape_of(f) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, whether stored by column, and type of an array whose file is at its start; the file is left at the first value."""
+    read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}
+    return read[np.lib.format.read_magic(f)](f)
+
+
+def rows_of(z: zipfile.ZipFile, name: str, lo: int, hi: int) -> np.ndarray:
+    """Rows lo to hi of an array of a zip; only those are held, and read if the zip is not compressed. An array stored by column is read whole."""
+    with z.open(f"{name}.npy") as f:
+        shape, by_column, kind = shape_of(f)
+        if by_column and len(shape) > 1:
+            return np.frombuffer(f.read(), kind).reshape(shape, order="F")[lo:hi]
+        width = int(np.prod(shape[1:], dtype=np.int64))
+        f.seek(lo * width * kind.itemsize, 1)
+        return np.frombuffer(f.read((hi - lo) * width * kind.itemsize), kind).reshape(-1, *shape[1:])
+
+
 @dataclass
 class Slice(InputPartition):
     lo: int
@@ -35,18 +52,18 @@ class NpzReader(DataSourceReader):
             raise ValueError(f"{self.path} has no array 'points', only {self.names}")
 
     def partitions(self) -> list[InputPartition]:
-        with np.load(self.path) as z:
-            n = len(z["points"])
+        with zipfile.ZipFile(self.path) as z, z.open("points.npy") as f:
+            n = shape_of(f)[0][0]
         return [Slice(lo, min(lo + self.per_task, n)) for lo in range(0, n, self.per_task)] or [Slice(0, 0)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        with np.load(self.path) as z:
-            own = slice(partition.lo, partition.hi)
-            points = z["points"][own].astype(np.float64)
-            colors = z["colors"][own].astype(np.float64) if "colors" in self.names else np.full_like(points, np.nan)
-            vectors = z["embeddings"][own] if "embeddings" in self.names else None
+        own = partition.lo, partition.hi
+        with zipfile.ZipFile(self.path) as z:
+            points = rows_of(z, "points", *own).astype(np.float64)
+            colors = rows_of(z, "colors", *own).astype(np.float64) if "colors" in self.names else np.full_like(points, np.nan)
+            vectors = rows_of(z, "embeddings", *own) if "embeddings" in self.names else None
             label = next((n for n in LABELS if n in self.names), None)
-            labels = z[label].reshape(-1)[own] if label else None
+            labels = rows_of(z, label, *own).reshape(-1) if label else None
         for i in range(len(points)):
             color = [float(c) if c == c else None for c in colors[i]]
             yield (partition.lo + i, *map(float, points[i]), *color, None if vectors is None else vectors[i].astype(float).tolist(), None if labels is None else int(labels[i]))

@@ -1,7 +1,7 @@
 """The ``sens`` data source: RGB-D sensor streams, version 4, as one row per frame.
 
-The header is fixed; frames vary in length, so a scan over the size fields (a few bytes a frame, the
-blobs are skipped) gives the frame offsets, and each partition reads a range of frames.
+The driver reads headers only. Frames vary in length, so a partition, a range of frames, steps over the
+size fields of the frames before it (a few bytes a frame, the blobs are skipped).
 Paths are read with Python's file functions: files must be on a mounted store that all executors see.
 """
 
@@ -36,6 +36,11 @@ SCHEMA = (
 )
 
 
+#: Matrices of the header, in the order of their export files, and image sizes.
+MATRICES = ("intrinsic_color", "extrinsic_color", "intrinsic_depth", "extrinsic_depth")
+CAMERA = (*MATRICES, "color_width", "color_height", "depth_width", "depth_height")
+
+
 @dataclass
 class Header:
     sensor: str
@@ -98,13 +103,13 @@ class FrameRange(InputPartition):
     path: str
     header: str
     first: int
-    offsets: list[int]
+    stop: int
 
 
 class SensReader(DataSourceReader):
     def __init__(self, options: dict):
         self.skip = max(1, int(options.get("frameSkip", "1")))
-        self.per_task = max(1, int(options.get("framesPerTask", "64")))
+        self.per_task = max(1, int(options.get("framesPerTask", "128")))
         if options.get("paths"):
             self.paths = json.loads(options["paths"])
         else:
@@ -119,29 +124,43 @@ class SensReader(DataSourceReader):
         for path in self.paths:
             with open(path, "rb") as f:
                 header = read_header(f)
-                offsets, at = [], header.size
-                for _ in range(header.num_frames):
-                    f.seek(at)
-                    sizes = FRAME_HEAD.unpack(f.read(FRAME_HEAD.size))[18:]
-                    offsets.append(at)
-                    at += FRAME_HEAD.size + sum(sizes)
             step = self.per_task * self.skip
-            out += [FrameRange(path, json.dumps(asdict(header)), lo, offsets[lo : lo + step]) for lo in range(0, len(offsets), step)]
+            out += [FrameRange(path, json.dumps(asdict(header)), lo, min(lo + step, header.num_frames)) for lo in range(0, header.num_frames, step)]
         return out
 
     def read(self, partition: FrameRange) -> Iterator[tuple]:
         h = Header(**json.loads(partition.header))
-        scene = os.path.basename(partition.path).rpartition(".")[0]
+        scene = scene_of(partition.path)
         with open(partition.path, "rb") as f:
-            for i, at in enumerate(partition.offsets, partition.first):
-                if i % self.skip:
-                    continue
-                f.seek(at)
+            f.seek(h.size)
+            for i in range(partition.stop):
                 x = FRAME_HEAD.unpack(f.read(FRAME_HEAD.size))
+                if i < partition.first or i % self.skip:
+                    f.seek(x[18] + x[19], os.SEEK_CUR)
+                    continue
                 color, depth = f.read(x[18]), f.read(x[19])
                 yield (scene, partition.path, i, h.num_frames, [float(v) for v in x[:16]], Decimal(x[16]), Decimal(x[17]), color, depth, h.color_codec, h.depth_codec, h.color_width, h.color_height, h.depth_width, h.depth_height, float(h.depth_shift), h.intrinsic_color, h.intrinsic_depth)
 
 
+def scene_of(path: str) -> str:
+    return os.path.basename(path).rpartition(".")[0]
+
+
+def cameras(spark, paths: list[str]):
+    """(scene, the four matrices, image sizes): one row a stream, from the headers alone, read by the executors."""
+    session.ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open(path, "rb") as f:
+                    h = asdict(read_header(f))
+                yield pd.DataFrame([{"scene": scene_of(path)} | {c: h[c] for c in CAMERA}])
+
+    schema = ", ".join(["scene string", *[f"{c} {'int' if c.startswith(('color', 'depth')) else 'array<double>'}" for c in CAMERA]])
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, schema)
+
+
 class SensDataSource(DataSource):
     """``spark.read.format("sens").option("frameSkip", k).load(path)``; path is a file or a folder, or set paths to a JSON list."""
 
