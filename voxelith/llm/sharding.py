@@ -6,19 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cell, fresh, ranked, unit
+from .common import fresh, ranked
 
 #: Rows of a shard that one task ranks, on average.
 ROWS_A_RANGE = 5_000
 
 
+def digits(text: Column, n: int) -> Column:
+    """The first n hexadecimal digits of a text's MD5 as a number, which other engines have too."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
 def shard_of(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:
     """The shard with the least -ln(u) / weight, u from a hash of key and shard (highest random weight).
 
     A shard's score depends on nothing but the key and the shard, so one more shard takes rows
     only into itself, and a shard of twice the weight gets twice the rows.
     """
-    scores = [F.struct((-F.log(unit(F.xxhash64(key, F.lit(f"{salt}:{s}")))) / F.lit(float(w))).alias("score"), F.lit(s).alias("shard")) for s, w in enumerate(weights) if w > 0]
+    def score(s: int, w: float) -> Column:
+        u = (digits(F.concat(key, F.lit(f"|{salt}:{s}")), 13) + F.lit(0.5)) / F.lit(2.0**52)
+        return -F.log(u) / F.lit(float(w))
+
+    scores = [F.struct(score(s, w).alias("score"), F.lit(s).alias("shard")) for s, w in enumerate(weights) if w > 0]
     if not scores:
         raise ValueError("no shard has a weight above 0")
     return (F.array_min(F.array(*scores)) if len(scores) > 1 else scores[0])["shard"]
@@ -44,8 +53,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         F.lit("key").alias("law"),
         shard_of(name, weights).alias("shard"),
         shard_of(name, grown).alias("grown_shard"),
-        F.xxhash64(name, F.coalesce(F.col(text), F.lit("")), F.lit("slot")).alias(h),
+        digits(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 15).alias(h),
         *carry,
-    ).withColumn(part, cell(F.col(h), ranges))
+    ).withColumn(part, F.floor(F.col(h) / F.lit(2.0**60) * ranges).cast("long"))
     order = [F.col(c).asc_nulls_first() for c in (h, "doc_id", "text_crc32", "size")]
     return ranked(rows, ["shard"], part, order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
