@@ -131,7 +131,8 @@ def test_shards_match_brute_force(docs):
     n = 24
 
     def score(key, s):
-        return -math.log((int(hashlib.md5(f"k{key}|shard:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52)
+        half = hashlib.md5(f"k{key}|shard:{s // 2}".encode()).hexdigest()[16 * (s % 2) :]
+        return -math.log((int(half[:13], 16) + 0.5) / 2.0**52)
 
     got = sharding.assign_shards(docs, [1.0] * n).collect()
     own = {r.doc_id: r.text for r in docs.collect()}
@@ -151,6 +152,8 @@ def test_shard_weights(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     counts = sharding.assign_shards(df, [1.0, 2.0, 1.0, 0.0], [1.0, 2.0, 1.0, 0.0, 4.0]).groupBy("shard").count().toPandas().set_index("shard")["count"]
     assert set(counts.index) == {0, 1, 2} and abs(counts[1] - 10_000) < 400
+    same, logs = (sharding.best_of(sharding.scores(F.col("doc_id").cast("string"), [2.0] * 5, plain))["shard"] for plain in (True, False))
+    assert df.where(same != logs).isEmpty()
 
 
 # -- language

@@ -99,7 +99,7 @@ FROM c JOIN n ON c.item_id = n.item_id WHERE n_common >= 0.8 * n_shingles - 1e-9
 WITH c AS (SELECT list(v ORDER BY n) AS c FROM (SELECT n, list_reduce([n::BIGINT] || [0::BIGINT FOR i IN range(8)], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('k' || doc_id, 'null') AS name, coalesce(text, '') AS t, CASE WHEN text IS NULL THEN 0 ELSE octet_length(encode(text)) END + 8 AS size FROM documents),
 x AS (SELECT d.*, xor(list_reduce([4294967295::BIGINT] || [CAST('0x' || b AS BIGINT) FOR b IN regexp_extract_all(hex(encode(t)), '..')], lambda a, b: xor(a >> 8, c.c[xor(a & 255, b) + 1])), 4294967295) AS crc FROM d, c),
-s AS (SELECT rid, s, -ln((CAST('0x' || substr(md5(name || '|shard:' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE) AS score FROM d, range(25) r(s)),
+s AS (SELECT rid, s, -ln((CAST('0x' || substr(md5(name || '|shard:' || (s // 2)), 1 + 16 * (s % 2), 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE) AS score FROM d, range(25) r(s)),
 b AS (SELECT rid, arg_min(s, score) FILTER (WHERE s < 24) AS shard, arg_min(s, score) AS grown_shard FROM s GROUP BY rid)
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(name || chr(10) || t), 1, 15) AS BIGINT), doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INT) AS grown_shard

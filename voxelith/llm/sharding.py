@@ -12,25 +12,44 @@ from .common import fresh, ranked
 ROWS_A_RANGE = 5_000
 
 
-def digits(text: Column, n: int) -> Column:
-    """The first n hexadecimal digits of a text's MD5 as a number, which other engines have too."""
-    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+def digits(digest: Column, n: int, first: int = 1) -> Column:
+    """n hexadecimal digits of a digest as a number."""
+    return F.conv(F.substring(digest, first, n), 16, 10).cast("long")
 
 
-def shard_of(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:
-    """The shard with the least -ln(u) / weight, u from a hash of key and shard (highest random weight).
+def even(*weights: Sequence[float]) -> bool:
+    """Whether all shards that have a weight have the same."""
+    return len({float(w) for own in weights for w in own if w > 0}) < 2
 
-    A shard's score depends on nothing but the key and the shard, so one more shard takes rows
-    only into itself, and a shard of twice the weight gets twice the rows.
+
+def scores(key: Column, weights: Sequence[float], plain: bool, first: int = 0, salt: str = "shard") -> list[Column]:
+    """(score, shard) of each shard from ``first`` on that has a weight: ln(u) / weight, u from a half of an MD5 of key and pair of shards.
+
+    ``plain``: weights are equal, so u's digits are compared as they are, which gives the same shard.
     """
-    def score(s: int, w: float) -> Column:
-        u = (digits(F.concat(key, F.lit(f"|{salt}:{s}")), 13) + F.lit(0.5)) / F.lit(2.0**52)
-        return -F.log(u) / F.lit(float(w))
+    out = []
+    for s, w in enumerate(weights):
+        if s >= first and w > 0:
+            digest, at = F.md5(F.concat(key, F.lit(f"|{salt}:{s // 2}"))), 1 + 16 * (s % 2)
+            u = (digits(digest, 13, at) + F.lit(0.5)) / F.lit(2.0**52)
+            score = F.substring(digest, at, 13) if plain else F.log(u) / F.lit(float(w))
+            out.append(F.struct(score.alias("score"), F.lit(s).alias("shard")))
+    return out
+
+
+def best_of(candidates: list[Column]) -> Column:
+    """The shard of the highest score, with that score.
 
-    scores = [F.struct(score(s, w).alias("score"), F.lit(s).alias("shard")) for s, w in enumerate(weights) if w > 0]
-    if not scores:
+    A score depends on nothing but the key and the shard, so one more shard takes rows only into
+    itself, and a shard of twice the weight gets twice the rows (highest random weight).
+    """
+    if not candidates:
         raise ValueError("no shard has a weight above 0")
-    return (F.array_min(F.array(*scores)) if len(scores) > 1 else scores[0])["shard"]
+    return F.array_max(F.array(*candidates)) if len(candidates) > 1 else candidates[0]
+
+
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
+    return best_of(scores(key, weights, even(weights)))["shard"]
 
 
 def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -43,18 +62,23 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
     by default). An empty table gives an empty result; other columns are not read.
     """
     grown = [*weights, weights[-1]] if grown is None else grown
+    plain = even(weights, grown)
     name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
     ranges = max(1, docs.count() // len(weights) // ROWS_A_RANGE + 1)
-    h, part = fresh(carry, "h", "part")
+    h, part, best, named = fresh(carry, "h", "part", "best", "named")
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(name, weights).alias("shard"),
-        shard_of(name, grown).alias("grown_shard"),
-        digits(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 15).alias(h),
+        name.alias(named),
+        best_of(scores(name, weights, plain)).alias(best),
+        digits(F.md5(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit("")))), 15).alias(h),
         *carry,
-    ).withColumn(part, F.floor(F.col(h) / F.lit(2.0**60) * ranges).cast("long"))
+    )
+    # a grown list of shards that keeps the old ones only has the new ones' scores to make
+    more = [F.col(best), *scores(F.col(named), grown, plain, len(weights))] if list(grown[: len(weights)]) == list(weights) else scores(F.col(named), grown, plain)
+    rows = rows.withColumns({"shard": F.col(best)["shard"], "grown_shard": best_of(more)["shard"]}).drop(best, named)
+    rows = rows.withColumn(part, F.floor(F.col(h) / F.lit(2.0**60) * ranges).cast("long"))
     order = [F.col(c).asc_nulls_first() for c in (h, "doc_id", "text_crc32", "size")]
     return ranked(rows, ["shard"], part, order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
