@@ -1,8 +1,12 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelith.operators import coloring, frames, knn, manifest, registry, search, voxels
+from voxelith.plans import queries
+
+from .oracle import rows
 
 
 def cloud(spark, n, seed=0, dim=0):
@@ -144,6 +148,22 @@ def test_global_stride_numbers_all_rows(spark):
     assert [(r.point_id, r.frame, r.v) for r in got] == [(i, *everything[4 * i]) for i in range(6)]
 
 
+def test_rows_of_one_vector_follow_each_other(spark, tmp_path):
+    n, folder = 4000, str(tmp_path)
+    line = spark.range(25 * n).selectExpr("id AS l_orderkey", "3 AS l_linenumber", "1L AS l_suppkey", f"IF(id < {n}, id % 64 * 10, 1) AS l_partkey", "10.0D AS l_extendedprice", "1.0D AS l_quantity")
+    line.union(line.where("l_orderkey < 10")).repartition(1).write.parquet(f"{folder}/lineitem.parquet")
+    # the first n are on the grid, the others make points the larger table; masks 2 and 3 of each frame: no point is of mask 2, and one vector of mask 3 is null
+    spark.range(16, 48).selectExpr("id AS vec_id", "IF(id = 40, NULL, transform(sequence(1, 64), k -> CAST(sin(id * k) AS FLOAT))) AS embedding").write.parquet(f"{folder}/embeddings.parquet")
+    spread = queries.QUERIES["embed_broadcast"](spark, folder)
+    con = duckdb.connect()
+    for t in ("lineitem", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    assert rows(spread.toPandas()) == rows(con.execute(queries.ORACLE_SQL["embed_broadcast"]).df())
+    ids = spread.where("i = 0").toPandas().vec_id.to_numpy()
+    assert len(ids) == 4010 - 251  # frame 8 has no vector
+    assert (ids[1:] != ids[:-1]).sum() < 16 * 16
+
+
 def test_registry(spark, tmp_path):
     reg = registry.Registry(spark, str(tmp_path / "registry"))
     assert reg.read().count() == 0
