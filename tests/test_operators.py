@@ -164,6 +164,20 @@ def test_rows_of_one_vector_follow_each_other(spark, tmp_path):
     assert (ids[1:] != ids[:-1]).sum() < 16 * 16
 
 
+def test_vectors_spread_to_all_points(spark, tmp_path):
+    folder = str(tmp_path)
+    # of u = 0 to 19 and v = 3 to 33 two points stand on every tenth row and column
+    spark.range(80).selectExpr("id AS l_orderkey", "3 AS l_linenumber", "id DIV 20 + 1 AS l_suppkey", "id % 20 AS l_partkey", "10.0D AS l_extendedprice", "1.0D AS l_quantity").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(32, 48).selectExpr("id AS vec_id", "transform(sequence(1, 64), k -> CAST(sin(id * k) AS FLOAT)) AS embedding").write.parquet(f"{folder}/embeddings.parquet")
+    spread = queries.QUERIES["embed_broadcast"](spark, folder)
+    con = duckdb.connect()
+    for t in ("lineitem", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    assert rows(spread.toPandas()) == rows(con.execute(queries.ORACLE_SQL["embed_broadcast"]).df())
+    assert spread.count() == 80 * 64
+    assert {(r.u, r.l_orderkey) for r in spread.collect()} == {(k % 20, k) for k in range(80)}
+
+
 def test_registry(spark, tmp_path):
     reg = registry.Registry(spark, str(tmp_path / "registry"))
     assert reg.read().count() == 0
