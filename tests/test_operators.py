@@ -178,6 +178,19 @@ def test_vectors_spread_to_all_points(spark, tmp_path):
     assert {(r.u, r.l_orderkey) for r in spread.collect()} == {(k % 20, k) for k in range(80)}
 
 
+def test_a_vector_meets_few_points_at_once(spark, tmp_path):
+    folder = str(tmp_path)
+    # one mask, of whose points 4000 are equal
+    spark.range(6000).selectExpr("IF(id < 4000, 0, id * 16) AS l_orderkey", "3 AS l_linenumber", "1L AS l_suppkey", "7L AS l_partkey", "10.0D AS l_extendedprice", "1.0D AS l_quantity").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(32, [0.5, 1.5]), (144, [2.5]), (33, [3.5])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    out = queries.QUERIES["embed_broadcast"](spark, folder).toPandas()
+    want = [(v, i, e, k) for k in [0] * 4000 + [16 * n for n in range(4000, 6000)] for v, i, e in ((32, 0, 0.5), (32, 1, 1.5), (144, 0, 2.5))]
+    assert sorted(out[["vec_id", "i", "e", "l_orderkey"]].itertuples(index=False, name=None)) == sorted(want)
+    ids = out[out.i == 0].vec_id.to_numpy()
+    ends = np.flatnonzero(np.diff(ids, prepend=-1, append=-1))
+    assert np.diff(ends).max() < 2700  # two blocks of about 1000 can follow each other
+
+
 def test_registry(spark, tmp_path):
     reg = registry.Registry(spark, str(tmp_path / "registry"))
     assert reg.read().count() == 0
